@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import mixing, quality, simhash, syncmers
 from tidemark.llm.common import table
 
 
@@ -16,6 +16,27 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup,)}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(quality.measure(table(spark, sf_dir, "documents")))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        syncmers.as_text(F.col("sketch")).alias("fingerprint"),
+        syncmers.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        syncmers.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_mixing, op4_syncmers)}
 
 ORACLES: dict[str, str] = {}
