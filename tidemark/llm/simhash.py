@@ -23,6 +23,8 @@ BITS = 64
 #: Fingerprints that one search may hold; larger groups are dealt again by their other bits.
 GROUP = 8192
 FAN = 16
+#: Fingerprints that are looked up together.
+QUERIES = 64
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_AT = (np.arange(8) * 256).astype(np.int64)
@@ -118,23 +120,23 @@ class GrayIndex:
 
 def spanning_links(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links between the places of codes that join what is joined by pairs within radius: fewer than len(codes)."""
-    parent = list(range(len(codes)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links, index = [], GrayIndex(codes)
-    for at in range(0, len(codes), 512):
-        q, hit = index.search(codes[at : at + 512], radius)
-        later = hit > q + at
-        for a, b in zip((q[later] + at).tolist(), hit[later].tolist(), strict=True):
-            x, y = root(a), root(b)
-            if x != y:
+    label = np.arange(len(codes))
+    links: list[tuple[int, int]] = []
+    index = GrayIndex(codes)
+    for at in range(0, len(codes), QUERIES):
+        q, hit = index.search(codes[at : at + QUERIES], radius)
+        a, b = q + at, hit
+        while len(a := a[far := label[a] != label[b]]):
+            b = b[far]
+            _, first = np.unique(np.maximum(label[a], label[b]), return_index=True)
+            parent = np.arange(len(codes))
+            for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
+                x, y = label[i], label[j]
                 parent[max(x, y)] = min(x, y)
-                links.append((a, b))
+                links.append((i, j))
+            while len(up := np.flatnonzero(parent[parent] != parent)):
+                parent[up] = parent[parent[up]]
+            label = parent[label]
     return links
 
 
