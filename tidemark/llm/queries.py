@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, simhash, syncmers
+from tidemark.llm import chat, credentials, langid, mixing, pieces, quality, simhash, suffixdedup, syncmers, warc
 from tidemark.llm.common import table
 
 
@@ -37,6 +37,45 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_mixing, op4_syncmers)}
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.scan(table(spark, sf_dir, "documents"))
+    count = {f"n_{k}": F.size(credentials.of_kinds(F.col("spans"), k)).cast("long") for k in credentials.KINDS[:3]}
+    base = credentials.as_text(credentials.of_kinds(F.col("spans"), *credentials.KINDS[:3]))
+    return found.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(base.cast("binary"), 256).alias("base_sha256"), credentials.as_text(F.col("spans")).alias("spans"), F.size("links").cast("long").alias("n_links"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = warc.read_chunks(warc.write_archives(table(spark, sf_dir, "pages")), data=False)
+    return chunks.filter("last").select(
+        warc.page_id_of("record_id").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        warc.page_id_of("refers_to").alias("refers_to"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, docs.filter(~langid.held_out()))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_simhash_dedup, op2_quality_rules, op3_mixing, op4_syncmers, op5_suffix_dedup, op6_chat_format, op7_sentencepiece, op8_secrets, op9_warc, op10_language_id,
+)}
 
 ORACLES: dict[str, str] = {}
