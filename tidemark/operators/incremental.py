@@ -110,7 +110,7 @@ def guarded_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], ts
     time are left out, deleted ones are not inserted."""
     usable = source.filter(F.col(ts).isNotNull())
     newer = f"s.{ts} > t.{ts} or t.{ts} is null"
-    return merge(target, usable, keys, [Clause("delete", f"({newer}) and ({deleted})"), Clause("update", newer)], [Clause("insert", f"not ({deleted})")])
+    return merge(target, usable, keys, [Clause("delete", f"({newer}) and (s.{deleted})" if deleted != "false" else "false"), Clause("update", newer)], [Clause("insert", f"not (s.{deleted})" if deleted != "false" else None)])
 
 
 def not_in_source_deleted(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
