@@ -318,7 +318,7 @@ def _(t):
     return t.orders.select("o_orderkey", *[c.alias(n) for n, (on, c) in features.items() if on])
 
 
-@query("N14_macro_test", "SELECT * FROM (VALUES ('by_two', 5.0), ('by_zero', NULL), ('quantity', 0.0)) v(test_case, result)")
+@query("N14_macro_test", "SELECT * FROM (VALUES ('by_two', CAST(5.0 AS DOUBLE)), ('by_zero', NULL), ('quantity', CAST(0.0 AS DOUBLE))) v(test_case, result)")
 def _(t):
     one = t.spark.range(1).select(F.lit(100.0).alias("revenue"), F.lit(0.0).alias("quantity"))
     cases = [("by_two", C.safe_divide(F.lit(10.0), F.lit(2.0))), ("by_zero", C.safe_divide(F.lit(10.0), F.lit(0.0))), ("quantity", C.safe_divide("revenue", "quantity", 0.0))]

@@ -140,9 +140,9 @@ def _(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.round(F.stddev("l_quantity"), 8).alias("std"), F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("correlation"), F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"))
 
 
-@query("G07_percentiles", "SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1")
+@query("G07_percentiles", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.95), 6) AS p95 FROM orders GROUP BY 1")
 def _(t):
-    return t.orders.groupBy("o_orderpriority").agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice)").alias("p50"), F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY o_totalprice)").alias("p95"))
+    return t.orders.groupBy("o_orderpriority").agg(F.round(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice)"), 6).alias("p50"), F.round(F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY o_totalprice)"), 6).alias("p95"))
 
 
 @query("G08_mode", "SELECT user_id, event_type AS common FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rn FROM events GROUP BY 1, 2) WHERE rn = 1")
@@ -300,9 +300,9 @@ def _(t):
     return t.customer.select("c_custkey", "c_mktsegment").join(stats, "c_mktsegment").drop("c_mktsegment")
 
 
-@query("H13_partition_percentile", "SELECT c_custkey, quantile_cont(c_acctbal, 0.75) OVER (PARTITION BY c_nationkey) AS p75 FROM customer")
+@query("H13_partition_percentile", "SELECT c_custkey, round(quantile_cont(c_acctbal, 0.75) OVER (PARTITION BY c_nationkey), 6) AS p75 FROM customer")
 def _(t):
-    return t.customer.selectExpr("c_custkey", "percentile_cont(0.75) WITHIN GROUP (ORDER BY c_acctbal) OVER (PARTITION BY c_nationkey) AS p75")
+    return t.customer.selectExpr("c_custkey", "round(percentile_cont(0.75) WITHIN GROUP (ORDER BY c_acctbal) OVER (PARTITION BY c_nationkey), 6) AS p75")
 
 
 @query("H14_ordered_moving_average", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS ma3 FROM orders")

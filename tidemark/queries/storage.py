@@ -69,7 +69,7 @@ def _(t):
     return t.emails.join(F.broadcast(domains), C.email_domain("email") == F.col("domain"), "left_semi").select("c_custkey")
 
 
-@query("A06_literal_union", "SELECT 'timestamp' AS cdc_type, 15.0 AS max_lag UNION ALL SELECT 'log', 5.0 UNION ALL SELECT 'trigger', 30.0")
+@query("A06_literal_union", "SELECT 'timestamp' AS cdc_type, CAST(15.0 AS DOUBLE) AS max_lag UNION ALL SELECT 'log', 5.0 UNION ALL SELECT 'trigger', 30.0")
 def _(t):
     return values(t.spark, [("timestamp", 15.0), ("log", 5.0), ("trigger", 30.0)], "cdc_type string, max_lag double")
 
