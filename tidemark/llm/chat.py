@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, ship
+from tidemark.llm.common import cut, lean, ship
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then the role of the last turn. What may follow each.
@@ -204,4 +204,4 @@ def repaired(conversations: DataFrame) -> DataFrame:
     def _batch(held: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=schema.names)
 
-    return placed.mapInArrow(mend, schema)
+    return placed.mapInArrow(lean(mend), schema)

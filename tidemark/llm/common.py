@@ -7,8 +7,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that a Python worker takes up at once.
+SLICE = 1 << 22
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over the same rows in batches of about SLICE bytes, or one row; what a worker has freed goes back at the end."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = max(1, b.num_rows * SLICE // max(b.nbytes, SLICE))
+            for at in range(0, b.num_rows, step):
+                yield b.slice(at, step)
+
+    def kept_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(cut_up(batches))
+        finally:
+            give_back()
+
+    return kept_small
+
+
+def give_back() -> None:
+    """Return memory that allocators hold for later use."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores put before it until no column of df has it (case aside)."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import free_name, ship
+from tidemark.llm.common import free_name, lean, ship
 
 #: Kinds in the order in which spans with the same start are listed; the first three stand on their own.
 KINDS = ("assign", "access", "hex", "ident", "secret", "endpoint")
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             links = pa.array([[{"ident": i, "secret": s, "endpoint": e} for i, s, e in x] for _, x in found], _ARROW_LINKS)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], spans, links], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def as_text(spans: Column) -> Column:
@@ -192,4 +192,4 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], texts, *b.columns[at + 1 :]], names=b.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import words
-from tidemark.llm.common import free_name, ship
+from tidemark.llm.common import free_name, lean, ship
 
 BUCKETS = 1 << 14
 #: Words a task infers on at once, by languages.
@@ -81,7 +81,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """
     ship(labelled.sparkSession)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    found = rows.mapInArrow(_count(), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(lean(_count()), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique().tolist())
     counts = np.zeros((BUCKETS, len(languages)))
     counts[found["bucket"].to_numpy(np.int64), found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)] = found["n"]
@@ -126,8 +126,6 @@ def _infer(model, penalty: float, threshold: float = 0.02):
         languages, table = model.value
         k = len(languages)
         for b in batches:
-            if not b.num_rows:
-                continue
             texts = b.column(b.num_columns - 1)
             flat, bounds = words.split(texts)
             n = len(texts)
@@ -182,4 +180,4 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str] | None = None
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(free_name(docs, "judged_text")))
     mix = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", mix)])
-    return rows.mapInArrow(_infer(model, penalty), schema)
+    return rows.mapInArrow(lean(_infer(model, penalty)), schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import lean, ship
 
 MARK = "▁"
 #: Segments that a worker remembers: two generations of so many.
@@ -284,7 +284,7 @@ def encode(docs: DataFrame, model_path: str | None = None, keep: list[str] | Non
             decoded = [c.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame, model_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -308,4 +308,4 @@ def digests(docs: DataFrame, model_path: str | None = None, keep: list[str] | No
             of_text = [hashlib.sha256(t.replace(MARK, " ").encode()).hexdigest() for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import suffixes, words
-from tidemark.llm.common import free_name, ship
+from tidemark.llm.common import free_name, lean, ship
 
 #: A repeat counts from so many words on.
 MIN_REPEAT = 10
@@ -59,8 +59,6 @@ def _dup_lines(text: bytes) -> int:
 def _measure(min_repeat: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
             texts = b.column(b.num_columns - 1).cast(pa.large_string()).fill_null("")
             flat, bounds = words.split(texts)
             chars = words.totals(pc.utf8_length(flat).to_numpy(), bounds)
@@ -88,7 +86,7 @@ def measure(docs: DataFrame, keep: list[str] | None = None, min_repeat: int = MI
         raise ValueError(f"columns {sorted(clash)} clash with the figures")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(free_name(docs, "measured_text")))
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in COLUMNS]])
-    return rows.mapInArrow(_measure(min_repeat), schema)
+    return rows.mapInArrow(lean(_measure(min_repeat)), schema)
 
 
 def judge(figures: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:

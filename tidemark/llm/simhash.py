@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, free_name, saved, ship
+from tidemark.llm.common import cut, free_name, lean, saved, ship
 from tidemark.llm.graph import components
 
 BITS = 64
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", keep: li
             fps = pa.array([fingerprint(t.as_py(), shingle) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], fps], names=[*keep, fp])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def links_within(fps: DataFrame, radius: int = 2, group: int = GROUP) -> DataFra
         big = cut(sizes.filter((F.col("n") > group) & (F.col("l") > 12)).select("key"))
         last = big.isEmpty()
         small = rows if last else rows.join(big, "key", "left_anti")
-        found = small.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_link_sorted(radius), "u long, v long")
+        found = small.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(lean(_link_sorted(radius)), "u long, v long")
         out = found if out is None else out.unionByName(found)
         if last:
             return out
@@ -315,7 +315,7 @@ def likely_links(fps: DataFrame, similarity: float = 0.8, recall: float = 0.95,
         big = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("key"))
         last = big.isEmpty() or seed > 6
         small = rows if last else rows.join(big, "key", "left_anti")
-        found = small.repartition("key").sortWithinPartitions("key").mapInArrow(_near_in_groups(radius), "u long, v long")
+        found = small.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_near_in_groups(radius)), "u long, v long")
         out = found if out is None else out.unionByName(found)
         if last:
             return out.distinct()
@@ -357,7 +357,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     # a list of up to FEW longs may go to every task; a longer one is joined by shuffling
     asked = F.broadcast(first) if first.count() <= FEW else first
     texts = rows.select(F.col(rid).alias("rid"), F.col("text").cast("string").alias("text")).join(asked, F.col("rid") == F.col("r")).select(F.col("f").alias("fp"), "text")
-    sketches = cut(texts.mapInArrow(_sketched(shingle), "fp long, sketch array<int>"))
+    sketches = cut(texts.mapInArrow(lean(_sketched(shingle)), "fp long, sketch array<int>"))
     met = links.join(sketches.select(F.col("fp").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("fp").alias("v"), F.col("sketch").alias("b")), "v")
     least = F.slice(F.sort_array(F.array_union("a", "b")), 1, SKETCH)
     alike = F.size(F.array_intersect(F.array_intersect(least, F.col("a")), F.col("b"))) >= similarity * F.size(least)

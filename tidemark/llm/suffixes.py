@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -11,18 +13,23 @@ def suffix_array(symbols: np.ndarray, depth: int | None = None) -> tuple[np.ndar
 
     A symbol that must not match, such as a separator, has to be unique. Past the end, suffixes are unlike.
     """
-    n = len(symbols)
     sa = np.argsort(symbols, kind="stable")
-    rank = _group(sa, symbols[sa], np.zeros(n, np.int32))
-    ranks, width = [rank], 1
+    rank = _group(sa, symbols[sa], np.zeros(len(symbols), np.int32))
+    ranks = [rank]
+    for rank in refined(sa, rank, 1, depth):
+        ranks.append(rank)
+    return sa, ranks
+
+
+def refined(sa: np.ndarray, rank: np.ndarray, width: int, depth: int | None = None) -> Iterator[np.ndarray]:
+    """Ranks by twice as many symbols, and again, until depth or all suffixes are told apart; sa is put in order in place."""
+    n = len(sa)
     open_ = _shared(sa, rank)
     while len(open_) and (depth is None or width < depth):
         at = sa[open_]
         ahead = at + width
-        inside = ahead < n
-        second = np.where(inside, rank[np.minimum(ahead, n - 1)].astype(np.int64) + 1, 0)
-        first = rank[at].astype(np.int64)
-        key = first * (n + 1) + second
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)].astype(np.int64) + 1, 0)
+        key = rank[at].astype(np.int64) * (n + 1) + second
         order = np.argsort(key, kind="stable")
         sa[open_] = at = at[order]
         key = key[order]
@@ -30,13 +37,12 @@ def suffix_array(symbols: np.ndarray, depth: int | None = None) -> tuple[np.ndar
         start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         rank = rank.copy()
         rank[at] = open_[start]
-        ranks.append(rank)
+        yield rank
         width *= 2
         same = ~new
         keep = same.copy()
         keep[:-1] |= same[1:]
         open_ = open_[keep]
-    return sa, ranks
 
 
 def _group(sa: np.ndarray, ordered: np.ndarray, out: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fresh_path, ship
+from tidemark.llm.common import cut, fresh_path, lean, ship
 
 CHUNK = 1 << 20
 #: Payloads of fewer bytes are never left out.
@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
         w.close()
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n, _ in w.closed], pa.string()), pa.array([r for _, r in w.closed], pa.int64())], names=["path", "records"])
 
-    return cut(met.select("page_id", "url", "payload", "digest", refers.alias("refers")).mapInArrow(run, "path string, records long"))
+    return cut(met.select("page_id", "url", "payload", "digest", refers.alias("refers")).mapInArrow(lean(run), "path string, records long"))
 
 
 def _records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], int]]:
