@@ -5,7 +5,8 @@ Equal windows name equal anchors at the same place in them, so only windows of o
 that name one anchor occurrence lie side by side; their bytes are its context. Equal contexts are counted by hash. Anchors
 with several different contexts are settled on a Burrows-Wheeler transform of these: intervals are extended backward
 breadth-first, which gives common prefixes by increasing value, and whatever is not settled when the length reaches LENGTH
-shares at least as much. Anchors with more contexts than one task should hold are settled by hashing each window.
+shares at least as much. Anchors with more contexts than one transform should hold are dealt over several; the windows
+that none of these finds twice are then counted by hash over all of them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import suffixes
-from tidemark.llm.common import cut, saved, ship
+from tidemark.llm.common import cut, lean, saved, ship
 
 #: Bytes of a string that may not occur twice, and of the strings that anchor it.
 LENGTH, GRAM = 400, 48
@@ -114,27 +115,59 @@ def _scan(length: int, gram: int):
     return run
 
 
-def long_prefixes(sa: np.ndarray, symbols: np.ndarray, separators: int, length: int) -> np.ndarray:
-    """big[i]: suffixes sa[i - 1] and sa[i] share at least length symbols.
-
-    sa has the suffixes in order of their first length symbols at least; symbols below separators are unique. An interval
-    of rows holds the suffixes with one prefix; the rows that the last-to-first map takes it to, split by symbol, hold those
-    with one symbol more in front. When an interval of prefix length l ends where no smaller common prefix ended one, the
-    common prefix there is l.
+#: Symbols that are packed into one integer, 9 bits each; 0 is the separator.
+PACKED = 7
+
+
+def _ordered(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sa, lcp): suffixes in order of their first length symbols at least; lcp[i], what suffixes i - 1 and i share, up to
+    PACKED. Separators match nothing."""
+    n = len(symbols)
+    padded = np.concatenate((symbols, np.zeros(PACKED, np.int64)))
+    key = np.zeros(n, np.int64)
+    until = np.full(n, PACKED, np.int64)
+    for j in range(PACKED):
+        s = padded[j : j + n]
+        key = (key << 9) | s
+        until[(s == 0) & (until == PACKED)] = j
+    # what follows a separator must not decide the order: equal beginnings stay in order of place
+    cut_off = (9 * (PACKED - until)).astype(np.int64)
+    key = (key >> cut_off) << cut_off
+    sa = np.argsort(key, kind="stable")
+    key, until = key[sa], until[sa]
+    differ = key[1:] ^ key[:-1]
+    # the first field that differs, from the place of the highest bit; a double holds the exponent of these integers
+    high = np.frexp(differ.astype(np.float64))[1]
+    field = np.where(differ > 0, PACKED - 1 - (high - 1) // 9, PACKED)
+    lcp = np.concatenate(([0], np.minimum(np.minimum(field, until[1:]), until[:-1])))
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(lcp < PACKED, np.arange(n), 0))
+    for _ in suffixes.refined(sa, rank, PACKED, length):
+        pass
+    return sa, lcp
+
+
+def long_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sa, big): the suffixes in order, and whether suffixes i - 1 and i share at least length symbols; 0 is a separator.
+
+    An interval of rows holds the suffixes with one prefix; the rows that the last-to-first map takes it to, split by
+    symbol, hold those with one symbol more in front. When an interval of prefix length l ends where no smaller common
+    prefix ended one, the common prefix there is l. Prefixes of up to PACKED symbols are read off the packed symbols.
     """
-    n = len(sa)
-    isa = np.empty(n, np.int64)
-    isa[sa] = np.arange(n)
+    n = len(symbols)
+    sa, lcp = _ordered(symbols, length)
+    isa = np.empty(n, np.int32)
+    isa[sa] = np.arange(n, dtype=np.int32)
     before = np.where(sa > 0, sa - 1, n - 1)
     step = isa[before]
-    extends = symbols[before] >= separators
+    extends = symbols[before] > 0
     head = symbols[sa]
-    big = np.ones(n + 1, np.bool_)
-    big[0] = big[n] = False
-    lb = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
-    rb = np.append(lb[1:], n)
-    big[lb] = False
-    for _ in range(1, length):
+    big = np.append(lcp >= PACKED, False)
+    starts = np.flatnonzero(~big[:n])
+    ends = np.append(starts[1:], n)
+    met = np.append(lcp, 0)[ends] == PACKED - 1
+    lb, rb = starts[met], ends[met]
+    for _ in range(PACKED, length):
         if not len(lb) or not big.any():
             break
         one = rb - lb == 1
@@ -151,22 +184,21 @@ def long_prefixes(sa: np.ndarray, symbols: np.ndarray, separators: int, length:
         child_rb = to[np.append(cuts[1:], len(to)) - 1] + 1 if len(to) else to
         lb, rb = np.concatenate((single, to[cuts])), np.concatenate((single + 1, child_rb))
         fresh = big[rb]
-        # a last row's end is no boundary but its interval may still be extended: it was settled when it was first met
         lb, rb = lb[fresh], rb[fresh]
         big[rb] = False
-    return big[:n]
+    return sa, big[:n]
 
 
 def repeated_windows(contexts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context, the runs (first, last) of starts of length bytes that also start elsewhere in the contexts."""
     k = len(contexts)
     ends = np.cumsum([len(c) + 1 for c in contexts]) - 1
-    symbols = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + k
-    symbols[ends] = np.arange(k)
-    sa, _ = suffixes.suffix_array(symbols, depth=length)
-    big = np.flatnonzero(long_prefixes(sa, symbols, k, length))
+    symbols = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
+    symbols[ends] = 0
+    sa, big = long_prefixes(symbols, max(length, PACKED))
+    rows = np.flatnonzero(big)
     hit = np.zeros(len(symbols) + 1, np.bool_)
-    hit[sa[big]] = hit[sa[big - 1]] = True
+    hit[sa[rows]] = hit[sa[rows - 1]] = True
     edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0))
     first, last = edges[::2], edges[1::2] - 1
     of = np.searchsorted(ends, first)
@@ -176,7 +208,7 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[tuple[np.ndarra
 
 
 def _settle(length: int):
-    """Rows (ah, ch, context) sorted by ah come in; (ah, ch, a, b), runs of repeated windows, go out."""
+    """Rows (shard, ah, ch, context) sorted by shard come in; (ah, ch, a, b), runs of repeated windows, go out."""
 
     def flush(rows: list) -> pa.RecordBatch:
         found = repeated_windows([x[2] for x in rows], length)
@@ -188,11 +220,11 @@ def _settle(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for ah, ch, context in zip(*(batch.column(c).to_pylist() for c in ("ah", "ch", "context")), strict=True):
-                if size >= SHARD and held[-1][0] != ah:
+            for shard, ah, ch, context in zip(*(batch.column(c).to_pylist() for c in ("shard", "ah", "ch", "context")), strict=True):
+                if size >= SHARD and held[-1][3] != shard:
                     yield flush(held)
                     held, size = [], 0
-                held.append((ah, ch, context))
+                held.append((ah, ch, context, shard))
                 size += len(context)
         if held:
             yield flush(held)
@@ -230,10 +262,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     A byte goes if a string of length bytes over it also starts elsewhere, in any row. Null texts count as empty; repeated
     rows are copies of each other, so theirs go whole if long enough; an empty table gives an empty one.
     """
+    if not PACKED <= gram <= length:
+        raise ValueError(f"{PACKED} <= gram <= length must hold")
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
     schema = "doc_id long, sha binary, n_bytes long, ah array<long>, p1 array<int>, p2 array<int>, ch array<long>"
-    scanned = saved(rows.mapInArrow(_scan(length, gram), schema), "anchors")
+    scanned = saved(rows.mapInArrow(lean(_scan(length, gram)), schema), "anchors")
 
     copies = cut(scanned.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.first("n_bytes").alias("n_bytes")).filter("n > 1"))
     listed = scanned.select("doc_id", "sha", "ah", "p1", "p2", "ch").filter(F.size("ah") > 0).join(copies.select("sha", "rep", F.lit(True).alias("copied")), "sha", "left")
@@ -250,12 +284,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     context = F.expr(f"substring(bytes, p1 + 1, p2 - p1 + {length})")
     sliced = cut(asked.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s"))).select("ah", "ch", "kinds", context.alias("context")))
 
-    few = sliced.filter(F.col("kinds") <= most).select("ah", "ch", "context").repartition("ah").sortWithinPartitions("ah")
-    settled = few.mapInArrow(_settle(length), "ah long, ch long, a array<int>, b array<int>").select("ah", "ch", F.inline(F.arrays_zip("a", "b")))
-    windows = sliced.filter(F.col("kinds") > most).select("ah", "ch", "context", F.explode(F.expr(f"sequence(0, length(context) - {length})")).alias("a"))
-    hashed = windows.select("ah", "ch", "a", F.expr(f"xxhash64(substring(context, a + 1, {length}))").alias("h"))
-    twice = hashed.groupBy("ah", "h").agg(F.count("*").alias("n")).filter("n > 1").select("ah", "h")
-    hot = hashed.join(twice, ["ah", "h"]).select("ah", "ch", "a", F.col("a").alias("b"))
+    # an anchor with more contexts than most is settled in parts; what no part finds twice is then counted by window
+    shard = F.expr(f"xxhash64(ah, pmod(ch, (kinds + {most - 1}) div {most}))")
+    dealt = sliced.select(shard.alias("shard"), "ah", "ch", "context").repartition("shard").sortWithinPartitions("shard")
+    found = cut(dealt.mapInArrow(lean(_settle(length)), "ah long, ch long, a array<int>, b array<int>"))
+    settled = found.select("ah", "ch", F.inline(F.arrays_zip("a", "b")))
+    parted = sliced.filter(F.col("kinds") > most).withColumn("starts", F.expr(f"sequence(0, length(context) - {length})"))
+    window = F.expr(f"xxhash64(substring(context, at + 1, {length}))").alias("h")
+    twice = parted.select("ah", "context", F.explode("starts").alias("at")).select("ah", window).groupBy("ah", "h").agg(F.count("*").alias("n")).filter("n > 1").select("ah", "h")
+    single = F.expr("filter(starts, x -> a is null or not exists(arrays_zip(a, b), r -> r.a <= x and x <= r.b))")
+    left = parted.join(found, ["ah", "ch"], "left").select("ah", "ch", "context", F.explode(single).alias("at"))
+    hot = left.select("ah", "ch", "at", window).join(twice, ["ah", "h"]).select("ah", "ch", F.col("at").alias("a"), F.col("at").alias("b"))
     same = live.filter("c > 1").select("ah", "ch", F.lit(0).alias("a"), (F.col("who.p2") - F.col("who.p1")).alias("b"))
     runs = settled.unionByName(hot).unionByName(same)
 
@@ -264,4 +303,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     whole = copies.filter(F.col("n_bytes") >= length).select("sha", F.array(F.struct(F.lit(0).alias("s"), F.col("n_bytes").cast("int").alias("e"))).alias("found"))
     marked = rows.select("doc_id", "bytes", F.length("bytes").cast("long").alias("n_bytes"), sha.alias("sha")).join(spans.unionByName(whole), "sha", "left")
     out = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    return marked.select("doc_id", "bytes", "n_bytes", "found").mapInArrow(_remove, out)
+    return marked.select("doc_id", "bytes", "n_bytes", "found").mapInArrow(lean(_remove), out)
