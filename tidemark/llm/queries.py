@@ -17,7 +17,7 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(quality.measure(table(spark, sf_dir, "documents")))
+    return quality.judge(quality.measure(table(spark, sf_dir, "documents"))).drop("longest_repeat")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_simhash_dedup, op2_quality_rules, op3_mixing, op4_syncmers, op5_suffix_dedup, op6_chat_format, op7_sentencepiece, op8_secrets, op9_warc, op10_language_id,
 )}
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+p AS (SELECT doc_id, ws, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, i, CASE WHEN i + 2 <= n THEN array_to_string(ws[i:i+2], ' ') END AS g3, CASE WHEN i + 9 <= n THEN array_to_string(ws[i:i+9], ' ') END AS g10, CASE WHEN i + 200 <= n THEN md5(array_to_string(ws[i:i+200], ' ')) END AS g201 FROM p),
+r AS (SELECT doc_id, i, (g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1)::INT AS r3, (g10 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g10) > 1)::INT AS r10, (g201 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g201) > 1)::INT AS r201 FROM g),
+c AS (SELECT doc_id, max(r3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, max(r10) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, r201 FROM r),
+s AS (SELECT doc_id, CAST(sum(c3) AS BIGINT) AS c3, CAST(sum(c10) AS BIGINT) AS c10, max(r201) AS long FROM c GROUP BY 1),
+f AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines FROM d),
+j AS (SELECT f.*, coalesce(c3, 0) AS n_repeat_words, coalesce(c10, 0) AS covered_words, coalesce(long, 0) AS long FROM f LEFT JOIN s ON f.doc_id = s.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= CAST(0.3 AS DOUBLE) * n_words AND long = 0 AS kept FROM j""",
+    "op3_mixing": rf"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS s, len({_WORDS}) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS key FROM documents),
+t AS (SELECT s, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY (s = '')::INT, s) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(3 AS DOUBLE) AS cap FROM t),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level FROM w WINDOW f AS (ORDER BY cap / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT s, source_size, least(cap, weight * max(level) OVER ()) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM g),
+b AS (SELECT d.*, source_size, target, epochs, CAST(floor(target) AS BIGINT) - epochs * source_size AS rest, CAST(sum(size) OVER (PARTITION BY d.s ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM d JOIN e ON d.s = e.s)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM b""",
+    "op5_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, greatest(length(h) // 2 - 399, 0))) AS i, h FROM d),
+k AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM p),
+c AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY k) > 1),
+m AS (SELECT doc_id, i, coalesce((i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400)::INT, 1) AS new FROM c),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m) GROUP BY 1, 2),
+o AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM r),
+x AS (SELECT o.doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM o JOIN d ON o.doc_id = d.doc_id GROUP BY 1)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN x ON d.doc_id = x.doc_id""",
+    "op9_warc": r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND kept <> page_id THEN kept END AS refers_to FROM k""",
+}
