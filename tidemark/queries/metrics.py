@@ -149,11 +149,11 @@ def _(t):
     return active.join(sizes, "cohort").withColumn("retention", F.round(F.try_divide("active", "size"), 6))
 
 
-@query("P14_query_performance", """SELECT run_id, CASE WHEN seconds < 1 THEN 'instant' WHEN seconds < 10 THEN 'fast' WHEN seconds < 60 THEN 'medium' ELSE 'slow' END AS tier, round(avg(seconds) OVER w, 9) AS rolling, seconds > 1.5 * avg(seconds) OVER w AS regression FROM runs WINDOW w AS (PARTITION BY model_name ORDER BY run_at, run_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""", "runs")
+@query("P14_query_performance", """SELECT run_id, CASE WHEN seconds < 1 THEN 'instant' WHEN seconds < 10 THEN 'fast' WHEN seconds < 60 THEN 'medium' ELSE 'slow' END AS tier, avg(n_rows) OVER w AS rolling_rows, seconds > 1.5 * avg(seconds) OVER w AS regression FROM runs WINDOW w AS (PARTITION BY model_name ORDER BY run_at, run_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""", "runs")
 def _(t):
     avg = R.moving(F.avg("seconds"), ["model_name"], ["run_at", "run_id"], 99)
     tier = F.when(F.col("seconds") < 1, "instant").when(F.col("seconds") < 10, "fast").when(F.col("seconds") < 60, "medium").otherwise("slow")
-    return t.runs.select("run_id", tier.alias("tier"), F.round(avg, 9).alias("rolling"), (F.col("seconds") > F.lit(1.5) * avg).alias("regression"))
+    return t.runs.select("run_id", tier.alias("tier"), R.moving(F.avg("n_rows"), ["model_name"], ["run_at", "run_id"], 99).alias("rolling_rows"), (F.col("seconds") > F.lit(1.5) * avg).alias("regression"))
 
 
 @query("P15_cache_ranking", "SELECT model_name, status, count(*) AS n, round(count(*) * avg(seconds), 2) AS score FROM runs GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 4 DESC, 1 LIMIT 50", "runs")
