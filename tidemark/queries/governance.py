@@ -57,3 +57,113 @@ def _(t):
 @query("Q18_environment_sample")
 def _(t):
     return M.sample_percent(t.orders, "o_orderkey", ENVIRONMENTS["ci"].sample_percent).select("o_orderkey")
+
+
+@query("A21_hooks", "SELECT * FROM (VALUES (1, 'start'), (2, 'pre'), (3, 'post'), (4, 'end')) v(place, hook)")
+def _(t):
+    from tidemark.plans.project import Context, Project
+
+    seen = []
+    p = Project()
+    p.model("dim_r", pre_hooks=[lambda c: seen.append("pre")], post_hooks=[lambda c: seen.append("post")])(lambda c: c.source("region"))
+    p.on_start.append(lambda c: seen.append("start"))
+    p.on_end.append(lambda c, r: seen.append("end"))
+    p.run(Context(t.spark, t.catalog, t.store, "2001-08-01"))
+    return values(t.spark, list(enumerate(seen, 1)), "place long, hook string")
+
+
+@query("A25_schema_naming", "SELECT * FROM (VALUES ('dev', 'analytics_marts'), ('ci', 'analytics_marts'), ('prod', 'marts')) v(env, schema_name)")
+def _(t):
+    return values(t.spark, [(e, schema_name("analytics", "marts", e)) for e in ("dev", "ci", "prod")], "env string, schema_name string")
+
+
+@query("A28_project_lint", "SELECT 'orders: staging models start with stg_' AS problem UNION ALL SELECT 'stg_late: staging refers to later marts fct_x'")
+def _(t):
+    from tidemark.plans.project import Project
+
+    p = Project()
+    p.model("orders", layer="staging")(lambda c: None)
+    p.model("fct_x", depends_on=["orders"])(lambda c: None)
+    p.model("stg_late", layer="staging", depends_on=["fct_x"])(lambda c: None)
+    return values(t.spark, [(x,) for x in p.lint()], "problem string")
+
+
+@query("A29_parquet_and_csv", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region")
+def _(t):
+    from tidemark.plans.tools import extract
+    from tidemark.sources.registry import seed
+
+    extract(t.region, f"{t.store.root}/region_csv")
+    extract(t.region, f"{t.store.root}/region_parquet", "parquet")
+    csv = seed(t.spark, f"{t.store.root}/region_csv", "r_regionkey int, r_name string")
+    return csv.unionByName(t.spark.read.parquet(f"{t.store.root}/region_parquet"))
+
+
+@query("N08_memoized", "SELECT count(*) AS n, 1 AS computed FROM orders")
+def _(t):
+    from tidemark.plans.tools import Memo
+
+    made, memo = [], Memo()
+    for _ in range(3):
+        df = memo.get("n", lambda: made.append(1) or t.orders.agg(F.count("*").alias("n")))
+    return df.withColumn("computed", F.lit(len(made)))
+
+
+@query("N10_nested_config", "SELECT * FROM (VALUES ('marts.materialized', 'table'), ('marts.finance.tier', '1'), ('staging.materialized', 'view')) v(path, setting)")
+def _(t):
+    from tidemark.plans.tools import flattened, merged
+
+    base = {"marts": {"materialized": "view", "finance": {"tier": 3}}, "staging": {"materialized": "view"}}
+    found = flattened(merged(base, {"marts": {"materialized": "table", "finance": {"tier": 1}}}))
+    return values(t.spark, [(k, str(v)) for k, v in found.items()], "path string, setting string")
+
+
+@query("N15_stage_waves", "SELECT * FROM (VALUES (1, 'extract_a'), (1, 'extract_b'), (2, 'load'), (3, 'report')) v(wave, stage)")
+def _(t):
+    from tidemark.plans.tools import Stage, waves
+
+    nothing = lambda: None
+    stages = [Stage("report", nothing, ["load"]), Stage("load", nothing, ["extract_a", "extract_b"], parallel_safe=False), Stage("extract_a", nothing), Stage("extract_b", nothing)]
+    return values(t.spark, [(i, n) for i, w in enumerate(waves(stages), 1) for n in w], "wave long, stage string")
+
+
+@query("O18_constraint_inventory", "SELECT * FROM (VALUES ('orders', 'o_orderkey', 'primary_key'), ('orders', 'o_totalprice', 'not_null'), ('orders', 'o_totalprice', 'check')) v(table_name, column_name, kind)")
+def _(t):
+    contract = [K.Rule("o_orderkey", "bigint", primary_key=True), K.Rule("o_totalprice", "double", not_null=True, check="o_totalprice > 0")]
+    return values(t.spark, K.constraints(contract, "orders"), "table_name string, column_name string, kind string")
+
+
+@query("Q21_deployment_audit", "SELECT 'prod' AS env, 2 AS models, 1 AS failures, 'failed' AS status, 'prod: fct_bad failed' AS alert")
+def _(t):
+    from tidemark.plans.project import Context, Project
+    from tidemark.plans.tools import audit
+
+    alerts = []
+    p = Project()
+    p.model("dim_r")(lambda c: c.source("region"))
+    p.model("fct_bad")(lambda c: c.source("no_such_table"))
+    p.on_end.append(audit(t.store, alerts.append))
+    p.run(Context(t.spark, t.catalog, t.store, "2001-08-01"))
+    return t.store.read("deployment_audit").select("env", "models", "failures", "status", F.lit(alerts[0]).alias("alert"))
+
+
+@query("R04_governance_tiers", "SELECT * FROM (VALUES ('revenue', 1, 4, true, false), ('churn', 2, 24, false, true), ('visits', 3, 72, true, true)) v(metric, tier, sla_hours, approved, review_due)")
+def _(t):
+    from datetime import date
+
+    from tidemark.plans.tools import Record, governance
+
+    records = [Record("revenue", 1, "finance", ["a", "b"], date(2001, 7, 1)), Record("churn", 2, "growth", [], date(2000, 7, 1)), Record("visits", 3, "web")]
+    return values(t.spark, governance(records, date(2001, 8, 1)), "metric string, tier long, sla_hours long, approved boolean, review_due boolean")
+
+
+@query("R09_environment_profiles", "SELECT * FROM (VALUES ('dev', 4, 1), ('ci', 4, 5), ('staging', 8, 50), ('prod', 12, 100)) v(env, threads, sample_percent)")
+def _(t):
+    return values(t.spark, [(e.name, e.threads, e.sample_percent) for e in ENVIRONMENTS.values()], "env string, threads long, sample_percent long")
+
+
+@query("R10_ci_matrix", "SELECT e AS env, s AS step FROM (VALUES ('ci'), ('staging')) a(e) CROSS JOIN (VALUES ('dependencies'), ('lint'), ('build'), ('test'), ('docs')) b(s)")
+def _(t):
+    from tidemark.plans.tools import ci_matrix
+
+    return values(t.spark, ci_matrix(["ci", "staging"]), "env string, step string")
