@@ -107,3 +107,15 @@ def test_samples_are_stable(spark):
     df = spark.range(10000)
     one, two = mon.sample_percent(df, "id", 5), mon.sample_percent(df.repartition(7), "id", 5)
     assert data(one) == data(two) and 300 < one.count() < 700 and mon.sample_percent(df, "id", 100).count() == 10000
+
+
+def test_numbers_and_parts_over_all_rows(spark):
+    from pyspark.sql import Window as W
+
+    from tidemark.operators import relational as rel
+
+    for n in (0, 1, 3, 7, 50):
+        df = spark.range(n).withColumn("k", (F.col("id") * 37) % 101).repartition(5)
+        want = df.select("id", F.row_number().over(W.orderBy("k")).cast("long").alias("row_number"), F.ntile(4).over(W.orderBy("k")).cast("long").alias("ntile"))
+        got = rel.global_ntile(rel.numbered(df, ["k"]), 4, ["k"])
+        assert data(got.select("id", "row_number", "ntile")) == data(want)

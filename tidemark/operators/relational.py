@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import checkpointed
+
 
 def _list(x: str | Sequence) -> list:
     return [x] if isinstance(x, str | Column) else list(x)
@@ -83,6 +85,33 @@ def aggregated(df: DataFrame, group: Sequence[str], metrics: Mapping[str, tuple[
     return df.groupBy(*group).agg(*[made[f](F.expr(e)).alias(n) for n, (f, e) in metrics.items()])
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "row_number") -> DataFrame:
+    """df with row numbers from 1 over the whole table, without bringing it into one task.
+
+    Rows are dealt by ranges of order and sorted there; a range's rows start after those of the ranges before. Rows that
+    tie may come in either order. The dealt rows are written to the shared folder, so that numbers hold when a task runs
+    again.
+    """
+    dealt = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
+    # a row for each partition
+    met = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return met.withColumn(name, F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_start")
+
+
+def global_ntile(df: DataFrame, n: int, order: Sequence[Column | str], name: str = "ntile") -> DataFrame:
+    """df with the number of one of n nearly equal parts in order, the first parts larger by one, as ntile() over all rows."""
+    total = df.agg(F.count("*").alias("_total"))
+    met = numbered(df, order, "_rn").crossJoin(F.broadcast(total))
+    small, larger = F.expr(f"_total div {n}"), F.expr(f"_total % {n}")
+    inside = F.col("_rn") - 1
+    in_larger = F.expr("floor((_rn - 1) / (_total div %d + 1))" % n) + 1
+    after = larger + F.floor(F.try_divide(inside - larger * (small + 1), small)) + 1
+    return met.withColumn(name, F.when(inside < larger * (small + 1), in_larger).otherwise(after).cast("long")).drop("_rn", "_total")
+
+
 def weighted_average(value: str, weight: str) -> Column:
     return F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight))
 

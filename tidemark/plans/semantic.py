@@ -2,7 +2,8 @@
 
 A query is resolved measure by measure: a measure's model is joined with the models that its dimensions belong to (facts to
 their primary entities, so no fan-out), filtered, grouped at the grain asked for, and the metrics are put together on the
-groups. Cumulative metrics of additive measures use a range frame over days; others join the days of their windows.
+groups. Cumulative metrics of additive measures use a range frame over days; distinct counts add up by how much each day
+changes them.
 """
 
 from __future__ import annotations
@@ -212,14 +213,18 @@ class Registry:
             df = self._base(model, list(dict.fromkeys([*q.dimensions, *extra])), x.time or model.time)
             for f in filters:
                 df = df.filter(re.sub(r"\{\{\s*Dimension\('(?:\w+__)?(\w+)'\)\s*\}\}", r"_d_\1", f))
-            # once for each day and value, so a day's rows meet a window once
-            seen = df.select("metric_time", *[F.col(f"_d_{d}").alias(d) for d in q.dimensions], F.expr(x.expr).alias("_v")).distinct()
-            days = self._days(seen, q).withColumnRenamed("metric_time", "_day")
-            width = m.window_days
-            last = days.agg(F.max("_day")).first()[0]
-            reach = F.lit(last) if width is None else F.least(F.date_add("metric_time", width - 1), F.lit(last))
-            spread = seen.filter(F.col("metric_time") <= F.lit(last)).select("*", F.explode(F.sequence("metric_time", reach)).alias("_day"))
-            out = spread.groupBy(F.col("_day").alias("metric_time"), *q.dimensions).agg(F.countDistinct("_v").alias("value"))
+            # a value counts from a day it is seen until its window ends or it is seen again: changes of the count by day,
+            # added up, so rows don't multiply with the width of the window
+            seen = df.select("metric_time", *[F.col(f"_d_{d}").alias(d) for d in q.dimensions], F.expr(x.expr).alias("_v")).filter("_v is not null").distinct()
+            again = F.lead("metric_time").over(W.partitionBy(*q.dimensions, "_v").orderBy("metric_time"))
+            leaves = again if m.window_days is None else F.least(again, F.date_add("metric_time", m.window_days))
+            moves = seen.withColumn("_until", leaves).select(*q.dimensions, F.explode(F.array(F.struct(F.col("metric_time").alias("d"), F.lit(1).alias("n")), F.struct(F.col("_until").alias("d"), F.lit(-1).alias("n")))).alias("_m"))
+            daily = moves.groupBy(F.col("_m.d").alias("metric_time"), *q.dimensions).agg(F.sum("_m.n").alias("value")).filter("metric_time is not null")
+            days = self._days(seen, q)
+            dense = days.crossJoin(seen.select(*q.dimensions).distinct()) if q.dimensions else days
+            met = _left(dense, daily, ["metric_time", *q.dimensions])
+            w = W.partitionBy(*q.dimensions).orderBy("metric_time").rowsBetween(W.unboundedPreceding, 0)
+            out = met.withColumn("value", F.coalesce(F.sum("value").over(w), F.lit(0)))
         if q.start_date:
             out = out.filter(F.col("metric_time") >= F.lit(q.start_date).cast("date"))
         return out

@@ -269,7 +269,7 @@ def _(t):
 @query("D05_batched_scd", "SELECT key, lsn, ntile(4) OVER (ORDER BY key) AS batch, md5(status || '||' || CAST(amount AS VARCHAR)) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lsn DESC) AS rn FROM changes) WHERE rn = 1", "changes")
 def _(t):
     newest = R.latest(t.changes, "key", [F.col("lsn").desc()])
-    return newest.select("key", "lsn", F.ntile(4).over(W.orderBy("key")).alias("batch"), C.content_hash("status", "amount").alias("content_hash"))
+    return R.global_ntile(newest.select("key", "lsn", C.content_hash("status", "amount").alias("content_hash")), 4, ["key"], "batch")
 
 
 @query("D06_scd2_quality", f"""WITH {_SCD2} SELECT key, count(*) AS versions, count(*) FILTER (WHERE is_current) AS current_versions, count(*) FILTER (WHERE valid_from >= valid_to) AS invalid_ranges, 0 AS unclosed, 0 AS current_with_end, CASE WHEN count(*) FILTER (WHERE valid_from >= valid_to) > 0 OR count(*) FILTER (WHERE is_current) > 1 THEN 'FAIL' ELSE 'PASS' END AS status FROM history GROUP BY 1""", "changes")

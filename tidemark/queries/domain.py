@@ -149,4 +149,4 @@ def _(t):
     w = W.partitionBy("user_id").orderBy("ts")
     sizes = t.events.groupBy("event_type").agg(F.count("*").alias("type_count"))
     made = t.events.select("event_id", "event_type", F.row_number().over(w).alias("seq"), F.round(R.running(F.sum("value"), ["user_id"], ["ts"]), 2).alias("cumulative"), F.lag("event_type").over(w).alias("before"))
-    return made.join(F.broadcast(sizes), "event_type").drop("event_type")
+    return made.join(sizes, "event_type").drop("event_type")

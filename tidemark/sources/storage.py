@@ -13,6 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; where it is unset, a folder in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.tidemark").rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed and written to the shared folder; later steps read that."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint()
+
+
 class Store:
     """Versioned tables below a folder of any file system that Spark writes to."""
 
@@ -23,8 +36,7 @@ class Store:
     @classmethod
     def scratch(cls, spark: SparkSession) -> Store:
         """A store of its own in the folder that driver and executors share."""
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.tidemark"
-        return cls(spark, f"{root.rstrip('/')}/store-{uuid.uuid4().hex}")
+        return cls(spark, f"{shared_root(spark)}/store-{uuid.uuid4().hex}")
 
     def _fs(self, path: str):
         p = self._jvm.org.apache.hadoop.fs.Path(path)
