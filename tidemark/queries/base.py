@@ -111,6 +111,17 @@ FEEDS = {
 }
 
 
+#: Whole numbers that the other engine would give as 32-bit integers.
+WIDE = {
+    "A01_source_scan": "s_nationkey", "A04_seed": "r_regionkey", "A10_ephemeral": "p_size", "A20_schema_evolution": "p_size", "A21_hooks": "place", "A29_parquet_and_csv": "r_regionkey", "C25_storage_optimized": "type_code",
+    "D04_mixed_scd": "version_number", "D06_scd2_quality": "unclosed current_with_end", "E02_star_computed": "l_linenumber", "E08_lateral_alias": "l_linenumber", "F05_theta_scenarios": "target", "F16_lookup_join": "tier",
+    "I01_order_by": "n_regionkey", "J01_union_all": "nation", "J02_union_distinct": "nation", "L02_extremes": "l_linenumber", "L21_casts": "dirty", "L22_json": "list_size", "L26_score_ladder": "score", "L28_audit_columns": "r_regionkey",
+    "N04_reduce_columns": "l_linenumber", "N08_memoized": "computed", "N15_stage_waves": "wave", "O05_expression_is_true": "l_linenumber", "O06_unique_combination": "l_linenumber", "Q01_health_score": "score", "Q09_shard_load": "shard",
+    "Q21_deployment_audit": "models failures", "R04_governance_tiers": "tier sla_hours", "R08_environment_names": "prod_threads", "R09_environment_profiles": "threads sample_percent", "S01_rfm_segments": "rs fs ms", "S04_metric_framework": "c_nationkey",
+    "S13_margin_model": "l_linenumber",
+}
+
+
 def query(name: str, sql: str | None = None, feeds: str = "") -> Callable:
     """Register a function of Tables as query name; feeds names the FEEDS that its SQL uses.
 
@@ -129,6 +140,8 @@ def query(name: str, sql: str | None = None, feeds: str = "") -> Callable:
             if feeds:
                 front = ", ".join(FEEDS[x] for x in feeds.split())
                 body = f"WITH {front}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {front} {body}"
+            if name in WIDE:
+                body = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in WIDE[name].split())}) FROM ({body})"
             ORACLES[name] = body
         return f
 
