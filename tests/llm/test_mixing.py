@@ -40,7 +40,9 @@ def test_targets_and_taken(docs):
     assert sum(r.taken for r in got) == pytest.approx(sum(sizes.values()), abs=len(sizes))
 
 
-def test_mix_gives_whole_copies(docs):
+@pytest.mark.parametrize("few", [mixing.FEW_SOURCES, 0])
+def test_mix_gives_whole_copies(docs, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     rows = [(i, f"w{i} " * (2 + i % 3), "en", "a" if i < 10 else "b") for i in range(100)]
     got = mixing.mix(docs(*rows)).collect()
     words = {"a": 0, "b": 0}

@@ -17,6 +17,7 @@ WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
 MAX_EPOCHS = 3
 SEED = "mix-1"
+FEW_SOURCES = 50_000
 
 
 def _keyed(docs: DataFrame, seed: str) -> DataFrame:
@@ -85,7 +86,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MAX_EPOCHS, see
     """The rows of docs, each as often as the mix takes it; a row for each copy, with the columns of docs.
 
     As plan(), in whole documents: of the last epoch a source gives those of which at least half lies within its budget.
-    The documents are not shuffled: each is compared with the key at which its source was cut.
+    Each document is compared with the key at which its source was cut, so the documents are not shuffled unless there
+    are more than FEW_SOURCES sources.
     """
     rows = cut(_keyed(docs, seed))
     planned = _planned(rows, weights, most)
@@ -94,6 +96,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MAX_EPOCHS, see
     s = F.coalesce(F.concat(F.lit("="), F.col("d.source").cast("string")), F.lit(""))
     here = F.struct(F.col("k").alias("key"), F.col("d.doc_id").cast("long").alias("doc_id"), F.col("z").alias("size"))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), _key(seed).alias("k"), n_words(F.col("text").cast("string")).alias("z"))
-    found = marked.withColumn("s", s).join(cuts, "s")
+    cuts = cut(cuts)
+    # a row for each source: up to FEW_SOURCES go to every task, so documents stay where they are
+    found = marked.withColumn("s", s).join(F.broadcast(cuts) if cuts.count() <= FEW_SOURCES else cuts, "s")
     copies = (F.col("epochs") + F.when(here <= F.col("cut_at"), 1).otherwise(0)).cast("int")
     return found.select(F.explode(F.array_repeat("d", copies)).alias("d")).select("d.*")
