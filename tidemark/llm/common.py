@@ -34,16 +34,28 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, remembered for drop_saved()."""
+    path, sc = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}", spark.sparkContext
+    sc._tidemark_paths = [*getattr(sc, "_tidemark_paths", []), path]
+    return path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again; later reads prune columns."""
+    """df written as Parquet in the shared folder and read again; later reads prune columns. See drop_saved()."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(spark: SparkSession) -> None:
+    """Delete what this application has put under the shared folder; results that still read it must be written first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in getattr(spark.sparkContext, "_tidemark_paths", []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    spark.sparkContext._tidemark_paths = []
+
+
 def ship(spark: SparkSession) -> None:
     """Make this subpackage importable on every executor."""
     sc = spark.sparkContext

@@ -22,7 +22,7 @@ from tidemark.llm.common import free_name, lean, ship
 
 BUCKETS = 1 << 14
 #: Words a task infers on at once, by languages.
-CELLS = 1 << 20
+CELLS = 1 << 18
 STEPS = 8
 #: What a trigram may tell against a language at most, and a word.
 SMOOTH, FLOOR = 0.1, np.float32(1e-6)

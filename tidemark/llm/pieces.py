@@ -22,7 +22,7 @@ from tidemark.llm.common import lean, ship
 
 MARK = "▁"
 #: Segments that a worker remembers: two generations of so many.
-REMEMBERED = 250_000
+REMEMBERED = 180_000
 #: From so many symbols on the agenda is a heap; below, a list.
 HEAP_FROM = 48
 _NEVER = 1 << 60
