@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -83,7 +84,9 @@ def test_empty_table_and_clashing_columns(spark, docs):
     assert found.columns == clash.columns and [r.doc_id for r in found.collect()] == [1]
 
 
-def test_deduplicate_keeps_one_of_each_group(docs):
+@pytest.mark.parametrize("few", [simhash.FEW, 0])
+def test_deduplicate_keeps_one_of_each_group(docs, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(4000)]
     clean = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(30)]

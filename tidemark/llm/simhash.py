@@ -30,6 +30,8 @@ QUERIES = 64
 SMALL = 32
 #: Hashes of a shingle sketch, and rows of two longs of which a list may be broadcast.
 SKETCH, FEW = 256, 200_000
+#: Bits of the masked patterns by which likely pairs meet.
+MASKED = 16
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_AT = (np.arange(8) * 256).astype(np.int64)
@@ -298,15 +300,14 @@ def likely_links(fps: DataFrame, similarity: float = 0.8, recall: float = 0.95,
     """Links (u, v), u < v, over the distinct longs in column fp: nearly all pairs that stem from similar shingle sets.
 
     Sets of Jaccard similarity j have fingerprints of which each bit differs with chance p = acos(2j / (1 + j)) / pi. Pairs
-    share a masked pattern of b bits, about as many as tell the fingerprints apart, with chance (1 - p) ** b; there are
-    enough masks for recall. Within a pattern's group the index finds pairs within the bits that such pairs differ by.
-    Groups above group are dealt again by further masks, of as many as keep recall.
+    share a masked pattern of MASKED bits with chance (1 - p) ** MASKED; there are enough masks for recall. Within a
+    pattern's group the index finds pairs within the bits that such pairs differ by. Groups above group are dealt again by
+    masks of 8 further bits, as many as keep recall.
     """
     ship(fps.sparkSession)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = round(BITS * p + 1.2 * math.sqrt(BITS * p * (1 - p)))
-    rows = cut(fps.select("fp").distinct())
-    bits = max(12, math.ceil(math.log2(rows.count() + 1)) - 2)
+    rows, bits = fps.select("fp").distinct(), MASKED
     rows, out, seed = rows.select(F.lit(0).cast("long").alias("key"), "fp"), None, 1
     while True:
         many = math.ceil(math.log(1 / (1 - recall)) / (1 - p) ** bits)
