@@ -69,10 +69,14 @@ class Clause:
 
 
 def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], matched: Sequence[Clause] = (Clause("update"),), not_matched: Sequence[Clause] = (Clause("insert"),), not_matched_by_source: Sequence[Clause] = ()) -> DataFrame:
-    """The rows of a MERGE: the first clause that holds decides. One full outer join on the keys."""
-    columns = target.columns
-    both = target.withColumn("_t", F.lit(True)).alias("t").join(source.withColumn("_s", F.lit(True)).alias("s"), _on(keys), "full_outer")
-    in_t, in_s = F.col("t._t").isNotNull(), F.col("s._s").isNotNull()
+    """The rows of a MERGE: the first clause that holds decides; a target row that none covers stays, a source row doesn't.
+
+    Target rows meet the source in a left join, so a batch that is small enough is sent to them and they don't move; new
+    rows are those of the source without a key in the target, of which only the keys are read.
+    """
+    there = source.withColumn("_s", F.lit(True)).alias("s")
+    met = target.alias("t").join(there, _on(keys), "left")
+    in_s = F.col("s._s").isNotNull()
 
     def first(clauses: Sequence[Clause]) -> Column:
         out = F.lit(-1)
@@ -80,25 +84,23 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], matched: Se
             out = F.when(F.expr(c.when), i).otherwise(out) if c.when else F.lit(i)
         return out
 
-    chosen = both.select("*", F.when(in_t & in_s, first(matched)).when(in_s, first(not_matched)).otherwise(first(not_matched_by_source)).alias("_c"))
-    kind = F.when(in_t & in_s, 0).when(in_s, 1).otherwise(2)
+    def picks(clauses: Sequence[Clause], want: Callable[[Clause], bool]) -> Column:
+        return F.col("_c").isin([i for i, c in enumerate(clauses) if want(c)])
+
+    chosen = met.select("*", F.when(in_s, first(matched)).otherwise(first(not_matched_by_source)).alias("_c"))
+    gone = (in_s & picks(matched, lambda c: c.what == "delete")) | (~in_s & picks(not_matched_by_source, lambda c: c.what == "delete"))
 
     def value(c: str) -> Column:
-        new, old = (F.col(f"s.{c}") if c in source.columns else F.col(f"t.{c}")), F.col(f"t.{c}")
-        out = old
-        for k, clauses in ((0, matched), (2, not_matched_by_source)):
-            for i, clause in enumerate(clauses):
-                if clause.what == "update" and (clause.columns is None or c in clause.columns):
-                    out = F.when((kind == k) & (F.col("_c") == i), new).otherwise(out)
-        return F.when(kind == 1, new).otherwise(out).alias(c)
-
-    gone = F.lit(False)
-    for k, clauses in ((0, matched), (2, not_matched_by_source)):
-        for i, clause in enumerate(clauses):
-            if clause.what == "delete":
-                gone = gone | ((kind == k) & (F.col("_c") == i))
-    gone = gone | ((kind == 1) & (F.col("_c") == -1))
-    return chosen.filter(~gone).select(*[value(c) for c in columns])
+        if c not in source.columns:
+            return F.col(f"t.{c}")
+        sets = picks(matched, lambda x: x.what == "update" and (x.columns is None or c in x.columns))
+        return F.when(in_s & sets, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
+
+    old = chosen.filter(~gone).select(*[value(c) for c in target.columns])
+    fresh = source.alias("s").join(target.select(*keys).alias("t"), _on(keys), "left_anti").withColumn("_c", first(not_matched)).filter(picks(not_matched, lambda c: c.what == "insert"))
+    types = dict(target.dtypes)
+    new = fresh.select(*[F.col(c) if c in source.columns else F.lit(None).cast(types[c]).alias(c) for c in target.columns])
+    return old.unionByName(new)
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
