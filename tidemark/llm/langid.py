@@ -21,10 +21,9 @@ from tidemark.llm import words
 from tidemark.llm.common import free_name, lean, ship
 
 BUCKETS = 1 << 14
-#: Words a task infers on at once, by languages.
-CELLS = 1 << 18
-STEPS = 8
-#: What a trigram may tell against a language at most, and a word.
+#: Words times languages that a task infers on at once, and steps of expectation-maximisation.
+CELLS, STEPS = 1 << 18, 8
+#: Added to every trigram's count; the least that a word's likelihood in a language counts against its best.
 SMOOTH, FLOOR = 0.1, np.float32(1e-6)
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -44,11 +43,12 @@ def _trigrams(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     x = raw.astype(np.uint32)
     grams = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:] if len(x) > 2 else np.zeros(0, np.uint32)
     hashed = (grams * np.uint32(2654435761)) >> np.uint32(18)
-    first = place - 1  # a word of n bytes has n trigrams, one from each place but the last two
+    # a word of n bytes has n trigrams, each around one of its bytes
+    first = place - 1
     return hashed[first].astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _count(languages: list[str] | None = None):
+def _count():
     """(lang, text) come in; (lang, bucket, n) go out: trigram counts of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
