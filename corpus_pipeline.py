@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import credentials, langid, mixing, pieces, simhash
-from tidemark.llm.common import saved
+from tidemark.llm.common import free_name, saved
 
 #: A document goes if no language has so large a share of its words.
 MIN_SHARE = 0.5
@@ -16,9 +16,9 @@ MIN_SHARE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and one language for at least half of its words; lang becomes that language."""
-    columns = docs.columns
+    columns, pred, score = docs.columns, free_name(docs, "lang_pred"), free_name(docs, "score")
     found = langid.identify(docs, docs.filter(~langid.held_out()), keep=columns)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SHARE)).withColumn("lang", F.col("lang_pred")).select(*columns)
+    return found.filter((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= MIN_SHARE)).withColumn("lang", F.col(pred)).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import importlib
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tidemark.llm import credentials, pieces
 
@@ -89,3 +90,14 @@ def test_stages_stand_odd_rows(spark, odd):
     for _, f in pipeline.STAGES:
         empty = f(spark, empty, "/root/testdata/sf0.001")
     assert empty.count() == 0
+
+
+def test_stages_stand_clashing_columns(spark, odd):
+    names = ["score", "lang_pred", "Mixture", "fp", "rid", "spans", "links", "s", "epochs", "cut_at", "d", "k", "z", "key", "scanned_text", "hashed_text", "judged_text", "_score"]
+    docs = odd.withColumns({n: F.lit(n) for n in names})
+    columns = docs.columns
+    for _, f in pipeline.STAGES[:-1]:
+        docs = f(spark, docs, "/root/testdata/sf0.001")
+        assert docs.columns == columns
+    assert {r["Mixture"] for r in docs.collect()} <= {"Mixture"}
+    assert pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()

@@ -47,6 +47,17 @@ def test_likeness(docs):
     assert got[1].edited == pytest.approx(1 / 3, abs=0.15)
 
 
+def test_fingerprint_is_the_least_anchors(docs):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(n)) for n in (0, 1, 4, 5, 6, 40, 900)]
+    rows = docs(*enumerate(texts))
+    found = {}
+    for r in syncmers.anchors(rows).collect():
+        found.setdefault(r.doc_id, set()).add((r["hash"] % (1 << 64)) >> 33)
+    got = {r.doc_id: r.sketch for r in syncmers.with_fingerprint(rows, "text", "sketch").collect()}
+    assert got == {i: sorted(found[i])[: syncmers.SKETCH] for i in range(len(texts))}
+
+
 def test_odd_rows(odd, docs):
     got = syncmers.fingerprints(odd).collect()
     assert len(got) == len(ODD)

@@ -119,7 +119,7 @@ def mixtures(likely: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarr
     return shares
 
 
-def _infer(model, penalty: float, threshold: float = 0.02):
+def _infer(model, names: list[str], penalty: float, threshold: float = 0.02):
     mix_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,18 +145,18 @@ def _infer(model, penalty: float, threshold: float = 0.02):
                         at = np.append(own[filled], own[-1]) - own[0]
                         shares[first + filled] = mixtures(likely[ids[own[0] : own[-1]]], at, penalty)
             lettered = [bool(t and _LETTER.search(t)) for t in texts.to_pylist()]
-            names, scores_, mixes = [], [], []
+            found, scores_, mixes = [], [], []
             for row, letters in zip(shares.tolist(), lettered, strict=True):
                 if not letters or not k:
-                    names.append(UNKNOWN)
+                    found.append(UNKNOWN)
                     scores_.append(0.0)
                     mixes.append([])
                     continue
                 best = max(range(k), key=row.__getitem__)
-                names.append(languages[best])
+                found.append(languages[best])
                 scores_.append(min(1.0, row[best]))
                 mixes.append([{"lang": languages[i], "share": row[i]} for i in sorted(range(k), key=lambda i: -row[i]) if row[i] >= threshold])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores_, pa.float64()), pa.array(mixes, mix_type)], names=[*b.schema.names[:-1], "lang_pred", "score", "mixture"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array(scores_, pa.float64()), pa.array(mixes, mix_type)], names=names)
 
     return run
 
@@ -170,8 +170,9 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str] | None = None
     """The columns in keep (default doc_id), lang_pred, score and mixture for every row of docs.
 
     labelled gives (lang, text) to learn from. lang_pred is the language with the largest share, score that share, mixture
-    all languages kept with their shares. Texts that are null or have no letter, and all if nothing could be learned, are
-    und with score 0. Repeated rows come out repeated, an empty table empty.
+    all languages kept with their shares; a name that a kept column has gets underscores in front (common.free_name).
+    Texts that are null or have no letter, and all if nothing could be learned, are und with score 0. Repeated rows come
+    out repeated, an empty table empty.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -179,5 +180,7 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str] | None = None
     model = spark.sparkContext.broadcast(train(labelled))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(free_name(docs, "judged_text")))
     mix = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", mix)])
-    return rows.mapInArrow(lean(_infer(model, penalty)), schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    made = zip((free_name(kept, n) for n in ("lang_pred", "score", "mixture")), (T.StringType(), T.DoubleType(), mix), strict=True)
+    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, t) for n, t in made]])
+    return rows.mapInArrow(lean(_infer(model, schema.names, penalty)), schema)
