@@ -17,7 +17,7 @@ from tidemark.llm.common import free_name, lean, ship
 #: A repeat counts from so many words on.
 MIN_REPEAT = 10
 #: The largest part of the words that repeats may cover, and the longest repeat, in words.
-MAX_COVERED, MAX_REPEAT = 0.3, 200
+MAX_COVERED, MAX_REPEAT = 0.2, 100
 #: Words whose suffixes are sorted together.
 CHUNK = 400_000
 _SYMBOL = np.zeros(256, np.bool_)

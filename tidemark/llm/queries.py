@@ -84,14 +84,14 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
 p AS (SELECT doc_id, ws, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
-g AS (SELECT doc_id, i, CASE WHEN i + 2 <= n THEN array_to_string(ws[i:i+2], ' ') END AS g3, CASE WHEN i + 9 <= n THEN array_to_string(ws[i:i+9], ' ') END AS g10, CASE WHEN i + 200 <= n THEN md5(array_to_string(ws[i:i+200], ' ')) END AS g201 FROM p),
-r AS (SELECT doc_id, i, (g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1)::INT AS r3, (g10 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g10) > 1)::INT AS r10, (g201 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g201) > 1)::INT AS r201 FROM g),
-c AS (SELECT doc_id, max(r3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, max(r10) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, r201 FROM r),
-s AS (SELECT doc_id, CAST(sum(c3) AS BIGINT) AS c3, CAST(sum(c10) AS BIGINT) AS c10, max(r201) AS long FROM c GROUP BY 1),
+g AS (SELECT doc_id, i, CASE WHEN i + 2 <= n THEN array_to_string(ws[i:i+2], ' ') END AS g3, CASE WHEN i + 9 <= n THEN array_to_string(ws[i:i+9], ' ') END AS g10, CASE WHEN i + 100 <= n THEN md5(array_to_string(ws[i:i+100], ' ')) END AS g101 FROM p),
+r AS (SELECT doc_id, i, (g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1)::INT AS r3, (g10 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g10) > 1)::INT AS r10, (g101 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g101) > 1)::INT AS r101 FROM g),
+c AS (SELECT doc_id, max(r3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, max(r10) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, r101 FROM r),
+s AS (SELECT doc_id, CAST(sum(c3) AS BIGINT) AS c3, CAST(sum(c10) AS BIGINT) AS c10, max(r101) AS long FROM c GROUP BY 1),
 f AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines FROM d),
 j AS (SELECT f.*, coalesce(c3, 0) AS n_repeat_words, coalesce(c10, 0) AS covered_words, coalesce(long, 0) AS long FROM f LEFT JOIN s ON f.doc_id = s.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= CAST(0.3 AS DOUBLE) * n_words AND long = 0 AS kept FROM j""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= CAST(0.2 AS DOUBLE) * n_words AND long = 0 AS kept FROM j""",
     "op3_mixing": rf"""
 WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS s, len({_WORDS}) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS key FROM documents),
 t AS (SELECT s, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
