@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import cut, lean, ship
 
@@ -128,7 +129,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
 def repaired(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, action, new_role, inserted, rendered) for every row of conversations.
 
-    Turns go by turn, null last, then role and text. Roles are compared in lower case without spaces around; a null or
+    Turns go by turn, null last, then role and the text's hash. Roles are compared in lower case without spaces around; a null or
     unknown role has to be relabelled. inserted is the role of the empty turn put before, if any. The rendered segments of
     a conversation in order are its text: "<|role|>\\n", the texts, "<|end|>\\n". Null texts count as empty; null conv_ids
     make one conversation; repeated rows are turns of their own; an empty table gives an empty one. Other columns are not
@@ -140,7 +141,7 @@ def repaired(conversations: DataFrame) -> DataFrame:
     code = F.coalesce(*[F.when(name == r, i) for i, r in enumerate(ROLES)], F.lit(3)).cast("int")
     rows = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), code.alias("code")).withColumn("h", F.xxhash64("text")).withColumn("p", F.spark_partition_id())
     order = ["conv_id", F.col("turn").asc_nulls_last(), "role"]
-    placed = cut(rows.repartitionByRange(*order, "h", "p").sortWithinPartitions(*order, "text").select("conv_id", "turn", "role", "text", "code"))
+    placed = cut(rows.repartitionByRange(*order, "h", "p").sortWithinPartitions(*order, "h", "p").select("conv_id", "turn", "role", "text", "code"))
     placed = placed.withColumn("part", F.spark_partition_id())
     id_type = placed.schema["conv_id"]
 
@@ -154,8 +155,6 @@ def repaired(conversations: DataFrame) -> DataFrame:
         types = [pa.int32(), pa.bool_(), pa.bool_(), key_type, pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "is_first", "is_last", "conv_id", "m"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     key_type = to_arrow_type(id_type.dataType)
     edge_schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("is_first", T.BooleanType()), T.StructField("is_last", T.BooleanType()), T.StructField("conv_id", id_type.dataType), T.StructField("m", T.ArrayType(T.LongType()))])
     # two rows at most for each partition
