@@ -62,8 +62,11 @@ def test_empty_and_kept_columns(docs):
     assert got.n_tokens == 1 and got.source == "a"
 
 
-def test_memory_forgets():
+def test_memory_keeps_what_comes_again():
     made = []
     m = pieces.Memory(lambda k: made.append(k) or k.upper(), 3)
-    assert [m[k] for k in "abcdabcd"] == list("ABCDABCD")
-    assert len(m) <= 3 and len(m.old) <= 3
+    assert [m[k] for k in "aabbxyzuvwab"] == list("AABBXYZUVWAB")
+    assert made == list("abxyzuvw") and set(m) == {"a", "b"}
+    for k in "cdefghcdefgh":
+        assert m[k] == k.upper()
+    assert max(map(len, (m, m.old, m.once, m.once_old))) <= 3

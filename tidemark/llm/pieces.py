@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import lean, ship
 
 MARK = "▁"
-#: Segments that a worker remembers: two generations of so many.
-REMEMBERED = 180_000
+#: Segments that a worker remembers: see Memory.
+REMEMBERED = 130_000
 #: From so many symbols on the agenda is a heap; below, a list.
 HEAP_FROM = 48
 _NEVER = 1 << 60
@@ -54,16 +54,24 @@ def model_bytes(path: str) -> bytes:
 
 
 class Memory(dict):
-    """What make(key) gives, remembered for the keys used last: at most two generations of size keys."""
+    """What make(key) gives, remembered for keys that come again.
+
+    A key is on probation when it is first met, and enters the dict when it is met again, so keys that come once don't
+    push others out. Each part is kept in two generations of size keys at most.
+    """
 
     def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.old, self.once, self.once_old = make, size, {}, {}, {}
 
     def __missing__(self, key: str) -> str:
-        value = self.old.get(key)
+        value = self.old.get(key) or self.once.get(key) or self.once_old.get(key)
         if value is None:
             value = self.make(key)
+            if len(self.once) >= self.size:
+                self.once_old, self.once = self.once, {}
+            self.once[key] = value
+            return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -74,7 +82,7 @@ class Memory(dict):
 class Coder:
     """Encodes and decodes texts as the library does with the same model."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, remembered: int = REMEMBERED):
         import sentencepiece
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -82,6 +90,7 @@ class Coder:
         self.pieces = [lib.id_to_piece(i) for i in range(size)]
         self.kind = ["byte" if lib.is_byte(i) else "control" if lib.is_control(i) else "unknown" if lib.is_unknown(i) else "" for i in range(size)]
         normal = [i for i in range(size) if not self.kind[i]]
+        self.special = {i for i in range(size) if self.kind[i]}
         by_score = sorted({lib.get_score(i) for i in normal}, reverse=True)
         place = {s: k for k, s in enumerate(by_score)}
         self.ids = {self.pieces[i]: i for i in normal}
@@ -90,7 +99,7 @@ class Coder:
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         self.mark = self.ids[MARK]
         self.end = lib.eos_id()
-        self.words = Memory(lambda k: " ".join(map(str, self._checked(k))), REMEMBERED)
+        self.words = Memory(lambda k: " ".join(map(str, self._checked(k))), remembered)
         self.differing = 0
 
     def merge(self, symbols: str) -> list[int]:
@@ -185,6 +194,8 @@ class Coder:
 
     def decode_run(self, ids: list[int]) -> str:
         """Pieces as text, space marks as spaces, bytes as UTF-8, broken ones as U+FFFD each; controls give nothing."""
+        if not self.special.intersection(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
         out, held = [], bytearray()
         for i in ids:
             kind = self.kind[i]
@@ -232,14 +243,14 @@ def _utf8(data: bytes) -> str:
         return "".join(out)
 
 
-_coders: dict[bytes, Coder] = {}
+_coders: dict[tuple[bytes, int], Coder] = {}
 
 
-def coder(model: bytes) -> Coder:
+def coder(model: bytes, remembered: int = REMEMBERED) -> Coder:
     """The worker's coder for a model."""
-    key = hashlib.md5(model).digest()
+    key = (hashlib.md5(model).digest(), remembered)
     if key not in _coders:
-        _coders[key] = Coder(model)
+        _coders[key] = Coder(model, remembered)
     return _coders[key]
 
 
@@ -287,11 +298,12 @@ def encode(docs: DataFrame, model_path: str | None = None, keep: list[str] | Non
     return rows.mapInArrow(lean(run), schema)
 
 
-def digests(docs: DataFrame, model_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def digests(docs: DataFrame, model_path: str | None = None, keep: list[str] | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """As encode(), with n_tokens, ids_sha256 and decoded_sha256 in place of ids and text.
 
     The ids do not leave the worker: their decimal form is hashed as it is joined. Each segment was decoded when it was
-    first met and gave itself back, so the decoded text is that of the segments in a row.
+    first met and gave itself back, so the decoded text is that of the segments in a row. A larger remembered trades a
+    worker's memory, some 800 bytes a segment, for merging fewer segments again.
     """
     keep = keep or ["doc_id"]
     model = _broadcast(docs.sparkSession, model_path)
@@ -299,7 +311,7 @@ def digests(docs: DataFrame, model_path: str | None = None, keep: list[str] | No
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(model.value)
+        c = coder(model.value, remembered)
         for b in batches:
             texts = _texts(b)
             ids = _checked_batch(c, texts)
