@@ -50,11 +50,13 @@ def test_equals_brute_force(docs, seed):
     assert run(docs(*rows)) == slow(rows, LENGTH)
 
 
-def test_hot_anchors_in_parts(docs):
+def test_hot_anchors_in_parts(docs, monkeypatch):
     rows = corpus(3, 80)
     hot = "the very common passage of them all, in every text"
     rows += [(5000 + i, f"{i:06d}{hot}{i * 7:06d}") for i in range(80)]
-    assert run(docs(*rows), most=3) == slow(rows, LENGTH)
+    for room in (suffixdedup.ROOM, 400):
+        monkeypatch.setattr(suffixdedup, "ROOM", room)
+        assert run(docs(*rows), most=3) == slow(rows, LENGTH)
 
 
 def test_odd_rows(docs):

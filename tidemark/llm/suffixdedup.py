@@ -5,29 +5,28 @@ Equal windows name equal anchors at the same place in them, so only windows of o
 that name one anchor occurrence lie side by side; their bytes are its context. Equal contexts are counted by hash. Anchors
 with several different contexts are settled on a Burrows-Wheeler transform of these: intervals are extended backward
 breadth-first, which gives common prefixes by increasing value, and whatever is not settled when the length reaches LENGTH
-shares at least as much. Anchors with more contexts than one transform should hold are dealt over several; the windows
-that none of these finds twice are then counted by hash over all of them.
+shares at least as much. Anchors with more contexts than one transform should hold are dealt over several, and windows
+that lie in different ones are compared by hash, dealt by that hash.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import suffixes
-from tidemark.llm.common import cut, lean, saved, ship
+from tidemark.llm.common import lean, saved, ship
 
 #: Bytes of a string that may not occur twice, and of the strings that anchor it.
 LENGTH, GRAM = 400, 48
 #: Different contexts of an anchor that one transform takes, and bytes of contexts in one transform.
 CONTEXTS, SHARD = 1000, 1 << 19
-#: Bytes that are hashed together.
-CHUNK = 1 << 20
+#: Bytes that are hashed together, and of window hashes that are compared in one task.
+CHUNK, ROOM = 1 << 20, 1 << 24
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD
 _LUT = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,10 +92,11 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tupl
 
 def _scan(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for b in batches:
             texts = b.column("bytes").cast(pa.large_binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            sizes = np.diff(offsets)
             body = texts.buffers()[2]
             raw = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
             parts, at = [], 0
@@ -109,8 +109,8 @@ def _scan(length: int, gram: int):
             of, ah, first, last, ch = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
             ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(texts))))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ah, first.astype(np.int32), last.astype(np.int32), ch)]
-            shas = pa.array([hashlib.sha256(t.as_buffer() if t.is_valid else b"").digest() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), shas, pa.array(sizes.astype(np.int64)), *lists], names=["doc_id", "sha", "n_bytes", "ah", "p1", "p2", "ch"])
+            keys = pa.array(np.array([xxh64_intdigest(t.as_buffer(), 42) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), keys, *lists], names=["doc_id", "key", "ah", "p1", "p2", "ch"])
 
     return run
 
@@ -218,12 +218,15 @@ def _settle(length: int):
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["ah", "ch", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, seen = [], 0, set()
         for batch in batches:
             for shard, ah, ch, context in zip(*(batch.column(c).to_pylist() for c in ("shard", "ah", "ch", "context")), strict=True):
                 if size >= SHARD and held[-1][3] != shard:
                     yield flush(held)
-                    held, size = [], 0
+                    held, size, seen = [], 0, set()
+                if (ah, ch) in seen:
+                    continue  # the same row of documents, repeated
+                seen.add((ah, ch))
                 held.append((ah, ch, context, shard))
                 size += len(context)
         if held:
@@ -232,6 +235,70 @@ def _settle(length: int):
     return run
 
 
+_RUNS = ("ah", "ch", "a", "b")
+_RUN_TYPES = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+
+
+def _window_hashes(length: int, room: int):
+    """Rows (ah, ch, kinds, context) come in; (shard, ah, ch, h, at) go out, the hashes and starts of a context's windows
+    dealt by hash over as many shards as keep each within room bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inverse = pow(_BASE, -1, 1 << 64)
+        for batch in batches:
+            out = []
+            for ah, ch, kinds, context in zip(*(batch.column(c).to_pylist() for c in ("ah", "ch", "kinds", "context")), strict=True):
+                raw = np.frombuffer(context, np.uint8)
+                sums = np.zeros(len(raw) + 1, np.uint64)
+                np.cumsum(_LUT[raw] * _power(_BASE, len(raw))[: len(raw)], out=sums[1:])
+                h = _mixed((sums[length:] - sums[:-length]) * _power(inverse, len(raw))[: len(raw) - length + 1])
+                shards = 1 + kinds * length * 12 // room
+                part = ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+                for own in np.split(order, cuts[1:]):
+                    key = (ah * 0x9E3779B1 + int(part[own[0]]) * 0x85EBCA6B) & 0x7FFFFFFFFFFFFFFF
+                    out.append((key, ah, ch, h[own].view(np.int64), own.astype(np.int32)))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["shard", "ah", "ch", "h", "at"])
+
+    return run
+
+
+def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, ah, ch, h, at) sorted by shard come in; (ah, ch, a, b), runs of windows whose hash came twice, go out."""
+
+    def flush(rows: list) -> pa.RecordBatch:
+        h = np.concatenate([r[3] for r in rows])
+        sizes = np.array([len(r[3]) for r in rows])
+        bounds, of = np.concatenate(([0], np.cumsum(sizes))), np.repeat(np.arange(len(rows)), sizes)
+        at = np.concatenate([r[4] for r in rows])
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        hit = np.zeros(len(h), np.bool_)
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        out = []
+        for i in np.unique(of[hit]).tolist():
+            own = slice(bounds[i], bounds[i + 1])
+            starts = np.sort(at[own][hit[own]])
+            new = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
+            out.append((rows[i][1], rows[i][2], starts[new].tolist(), starts[np.append(new[1:], len(starts)) - 1].tolist()))
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _RUN_TYPES, strict=True)], names=list(_RUNS))
+
+    held: list = []
+    for batch in batches:
+        hs, ats = batch.column("h"), batch.column("at")
+        for i, (shard, ah, ch) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "ah", "ch")), strict=True)):
+            if held and held[-1][0] != shard:
+                yield flush(held)
+                held = []
+            held.append((shard, ah, ch, hs[i].values.to_numpy(), ats[i].values.to_numpy()))
+    if held:
+        yield flush(held)
+
+
 def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of spans as maximal runs."""
     order = np.argsort(starts, kind="stable")
@@ -266,41 +333,43 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
         raise ValueError(f"{PACKED} <= gram <= length must hold")
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
-    schema = "doc_id long, sha binary, n_bytes long, ah array<long>, p1 array<int>, p2 array<int>, ch array<long>"
+    schema = "doc_id long, key long, ah array<long>, p1 array<int>, p2 array<int>, ch array<long>"
     scanned = saved(rows.mapInArrow(lean(_scan(length, gram)), schema), "anchors")
 
-    copies = cut(scanned.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.first("n_bytes").alias("n_bytes")).filter("n > 1"))
-    listed = scanned.select("doc_id", "sha", "ah", "p1", "p2", "ch").filter(F.size("ah") > 0).join(copies.select("sha", "rep", F.lit(True).alias("copied")), "sha", "left")
-    own = listed.filter(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))
-    met = own.select("doc_id", "sha", F.coalesce("copied", F.lit(False)).alias("copied"), F.inline(F.arrays_zip("ah", "p1", "p2", "ch")))
-
-    kinds = met.groupBy("ah", "ch").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "sha", "p1", "p2")).alias("who"))
-    several = kinds.groupBy("ah").agg(F.count("*").alias("kinds"), F.max("c").alias("top")).filter("kinds > 1 or top > 1")
-    live = cut(kinds.join(several.select("ah", "kinds"), "ah").filter("kinds > 1 or c > 1"))
-
-    asked = live.filter("kinds > 1").select("ah", "ch", "kinds", "who.doc_id", "who.sha", "who.p1", "who.p2")
-    sha = F.unhex(F.sha2("bytes", 256))
-    texts = rows.filter(F.length("bytes") >= length).select(F.col("doc_id").alias("d"), sha.alias("s"), "bytes")
-    context = F.expr(f"substring(bytes, p1 + 1, p2 - p1 + {length})")
-    sliced = cut(asked.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s"))).select("ah", "ch", "kinds", context.alias("context")))
-
-    # an anchor with more contexts than most is settled in parts; what no part finds twice is then counted by window
+    # most anchors occur once, and nothing that they anchor can be found twice
+    every = scanned.select("doc_id", "key", F.inline(F.arrays_zip("ah", "p1", "p2", "ch")))
+    # (aggregates are written before joins on them, so that both sides are shuffles whose hot keys can be split)
+    common = saved(every.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"), "common")
+    met = saved(every.join(common, "ah", "left_semi"), "met")
+    kinds = saved(met.groupBy("ah", "ch").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "p1", "p2")).alias("who")), "kinds")
+    several = saved(kinds.groupBy("ah").agg(F.count("*").alias("kinds")), "several")
+    live = kinds.join(several, "ah")
+
+    asked = live.filter("kinds > 1").select("ah", "ch", "kinds", "who.doc_id", "who.key", "who.p1", "who.p2")
+    lists = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("ah", "ch", "kinds", "p1", "p2")).alias("asked"))
+    here = rows.withColumn("key", F.xxhash64("bytes")).alias("x")
+    wanted = here.join(lists.alias("y"), _same_text("x", "y")).select("x.bytes", F.inline("asked"))
+    sliced = saved(wanted.select("ah", "ch", "kinds", F.expr(f"substring(bytes, p1 + 1, p2 - p1 + {length})").alias("context")), "contexts")
+
+    # an anchor with more contexts than most is settled in parts, and its windows are compared by hash over all of them
     shard = F.expr(f"xxhash64(ah, pmod(ch, (kinds + {most - 1}) div {most}))")
     dealt = sliced.select(shard.alias("shard"), "ah", "ch", "context").repartition("shard").sortWithinPartitions("shard")
-    found = cut(dealt.mapInArrow(lean(_settle(length)), "ah long, ch long, a array<int>, b array<int>"))
+    found = saved(dealt.mapInArrow(lean(_settle(length)), "ah long, ch long, a array<int>, b array<int>"), "runs")
     settled = found.select("ah", "ch", F.inline(F.arrays_zip("a", "b")))
-    parted = sliced.filter(F.col("kinds") > most).withColumn("starts", F.expr(f"sequence(0, length(context) - {length})"))
-    window = F.expr(f"xxhash64(substring(context, at + 1, {length}))").alias("h")
-    twice = parted.select("ah", "context", F.explode("starts").alias("at")).select("ah", window).groupBy("ah", "h").agg(F.count("*").alias("n")).filter("n > 1").select("ah", "h")
-    single = F.expr("filter(starts, x -> a is null or not exists(arrays_zip(a, b), r -> r.a <= x and x <= r.b))")
-    left = parted.join(found, ["ah", "ch"], "left").select("ah", "ch", "context", F.explode(single).alias("at"))
-    hot = left.select("ah", "ch", "at", window).join(twice, ["ah", "h"]).select("ah", "ch", F.col("at").alias("a"), F.col("at").alias("b"))
-    same = live.filter("c > 1").select("ah", "ch", F.lit(0).alias("a"), (F.col("who.p2") - F.col("who.p1")).alias("b"))
+    hashed = sliced.filter(F.col("kinds") > most).mapInArrow(lean(_window_hashes(length, ROOM)), "shard long, ah long, ch long, h array<long>, at array<int>")
+    again = hashed.repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_met_twice), "ah long, ch long, a array<int>, b array<int>")
+    hot = again.select("ah", "ch", F.inline(F.arrays_zip("a", "b")))
+    same = kinds.filter("c > 1").select("ah", "ch", F.lit(0).alias("a"), (F.col("who.p2") - F.col("who.p1")).alias("b"))
     runs = settled.unionByName(hot).unionByName(same)
 
-    hits = met.filter(~F.col("copied")).select("sha", "ah", "ch", "p1").join(runs, ["ah", "ch"])
-    spans = hits.groupBy("sha").agg(F.collect_list(F.struct((F.col("p1") + F.col("a")).alias("s"), (F.col("p1") + F.col("b") + length).alias("e"))).alias("found"))
-    whole = copies.filter(F.col("n_bytes") >= length).select("sha", F.array(F.struct(F.lit(0).alias("s"), F.col("n_bytes").cast("int").alias("e"))).alias("found"))
-    marked = rows.select("doc_id", "bytes", F.length("bytes").cast("long").alias("n_bytes"), sha.alias("sha")).join(spans.unionByName(whole), "sha", "left")
+    span = F.struct((F.col("p1") + F.col("a")).alias("s"), (F.col("p1") + F.col("b") + length).alias("e"))
+    hits = met.join(runs, ["ah", "ch"]).select("doc_id", "key", span.alias("span")).distinct()
+    spans = hits.groupBy("doc_id", "key").agg(F.collect_list("span").alias("found"))
+    marked = here.join(spans.alias("y"), _same_text("x", "y"), "left")
     out = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    return marked.select("doc_id", "bytes", "n_bytes", "found").mapInArrow(lean(_remove), out)
+    return marked.select("x.doc_id", "x.bytes", F.length("x.bytes").cast("long").alias("n_bytes"), "y.found").mapInArrow(lean(_remove), out)
+
+
+def _same_text(a: str, b: str) -> Column:
+    """Rows of one document: doc_id and the text's hash. Rows with equal both have equal texts, so either stands for all."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
