@@ -22,7 +22,7 @@ from tidemark.llm.common import lean, ship
 
 MARK = "▁"
 #: Segments that a worker remembers: see Memory.
-REMEMBERED = 130_000
+REMEMBERED = 100_000
 #: From so many symbols on the agenda is a heap; below, a list.
 HEAP_FROM = 48
 _NEVER = 1 << 60
@@ -78,6 +78,10 @@ class Memory(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.once, self.once_old = {}, {}, {}
+
 
 class Coder:
     """Encodes and decodes texts as the library does with the same model."""
@@ -298,12 +302,13 @@ def encode(docs: DataFrame, model_path: str | None = None, keep: list[str] | Non
     return rows.mapInArrow(lean(run), schema)
 
 
-def digests(docs: DataFrame, model_path: str | None = None, keep: list[str] | None = None, remembered: int = REMEMBERED) -> DataFrame:
+def digests(docs: DataFrame, model_path: str | None = None, keep: list[str] | None = None, remembered: int = REMEMBERED, over_tasks: bool = False) -> DataFrame:
     """As encode(), with n_tokens, ids_sha256 and decoded_sha256 in place of ids and text.
 
     The ids do not leave the worker: their decimal form is hashed as it is joined. Each segment was decoded when it was
     first met and gave itself back, so the decoded text is that of the segments in a row. A larger remembered trades a
-    worker's memory, some 800 bytes a segment, for merging fewer segments again.
+    worker's memory, some 800 bytes a segment, for merging fewer segments again; so does over_tasks, by which a worker
+    remembers them from one task to the next.
     """
     keep = keep or ["doc_id"]
     model = _broadcast(docs.sparkSession, model_path)
@@ -319,5 +324,7 @@ def digests(docs: DataFrame, model_path: str | None = None, keep: list[str] | No
             of_ids = [hashlib.sha256(x.encode()).hexdigest() for x in ids]
             of_text = [hashlib.sha256(t.replace(MARK, " ").encode()).hexdigest() for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=schema.names)
+        if not over_tasks:
+            c.words.forget()
 
     return rows.mapInArrow(lean(run), schema)
