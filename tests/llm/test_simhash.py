@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -105,3 +106,44 @@ def test_deduplicate_odd_rows(odd):
     texts = [r.text for r in kept]
     assert len(texts) == len(set(texts))
     assert sorted((r.doc_id for r in kept), key=repr) == sorted([1, 4, 5, None, 6, 7], key=repr)
+
+
+def shingle_set(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def slow_kept(rows, similarity=0.8):
+    """The least ids of the groups that pairs of similarity or more join."""
+    sets, group = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted(min(r[0] for r, g in zip(rows, group, strict=True) if g == x) for x in set(group))
+
+
+def on_a_template(rng, n, changed, words=300):
+    """Texts that share a template but for a run of words that begins at random places; each has one near copy."""
+    vocabulary = [f"w{i}" for i in range(5000)]
+    template = [rng.choice(vocabulary) for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(template)
+        at = rng.randrange(words - changed)
+        w[at : at + changed] = [rng.choice(vocabulary) for _ in range(changed)]
+        out.append(" ".join(w))
+        w[rng.randrange(words)] = "edited"
+        out.append(" ".join(w))
+    return out
+
+
+def test_pairs_are_checked_before_they_are_left_out():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**63, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 60, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 60, 200, dtype=np.uint64))
+    for codes in (np.unique(fps), np.unique(fps)[:20]):
+        batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(codes), np.int64)), pa.array(codes.view(np.int64))], names=["key", "fp"])
+        got = [p for b in simhash._near_in_groups(3)([batch]) for p in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+        far = np.bitwise_count(codes[:, None] ^ codes[None, :])
+        assert sorted(got) == sorted((int(a), int(b)) for i, a in enumerate(codes) for j, b in enumerate(codes) if i < j and far[i, j] <= 3)

@@ -241,39 +241,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 def _near_in_groups(radius: int):
-    """Rows (key, fp) sorted by key come in; links (u, v) go out: a shortest spanning forest of each group's near pairs."""
+    """Rows (key, fp) sorted by key come in; links (u, v) go out: each group's pairs within radius, u < v as longs."""
 
     def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.append(starts, len(keys)))
-        found = [np.zeros((3, 0), np.int64)]
+        found = [np.zeros((2, 0), np.int64)]
         small = np.repeat(sizes <= SMALL, sizes)
         for shift in range(1, min(SMALL, int(sizes.max()))):
             a = np.flatnonzero((keys[shift:] == keys[:-shift]) & small[:-shift])
-            far = np.bitwise_count(fps[a] ^ fps[a + shift])
-            near = far <= radius
-            found.append(np.array([far[near], a[near], a[near] + shift], np.int64))
+            a = a[np.bitwise_count(fps[a] ^ fps[a + shift]) <= radius]
+            found.append(np.array([a, a + shift]))
         for at, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            for i, j in spanning_links(fps[at : at + n], radius):
-                found.append(np.array([[0], [at + i], [at + j]], np.int64))
-        pairs = np.concatenate(found, axis=1)
-        pairs = pairs[1:, np.argsort(pairs[0], kind="stable")]
-        parent: dict[int, int] = {}
-
-        def root(i: int) -> int:
-            while (up := parent.get(i, i)) != i:
-                parent[i] = parent.get(up, up)
-                i = up
-            return i
-
-        tree = []
-        for i, j in pairs.T.tolist():
-            x, y = root(i), root(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                tree.append((fps[i], fps[j]))
-        both = np.array(tree, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["u", "v"])
+            index = GrayIndex(fps[at : at + n])
+            for first in range(at, at + n, QUERIES):
+                q, hit = index.search(fps[first : min(first + QUERIES, at + n)], radius)
+                later = hit + at > q + first
+                found.append(np.array([q[later] + first, hit[later] + at]))
+        both = fps[np.concatenate(found, axis=1)].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
