@@ -1,12 +1,11 @@
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import simhash, similar
 
 from odd_rows import ODD
 
@@ -139,11 +138,37 @@ def on_a_template(rng, n, changed, words=300):
     return out
 
 
-def test_pairs_are_checked_before_they_are_left_out():
-    rng = np.random.default_rng(3)
-    fps = rng.integers(0, 2**63, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 60, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 60, 200, dtype=np.uint64))
-    for codes in (np.unique(fps), np.unique(fps)[:20]):
-        batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(codes), np.int64)), pa.array(codes.view(np.int64))], names=["key", "fp"])
-        got = [p for b in simhash._near_in_groups(3)([batch]) for p in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
-        far = np.bitwise_count(codes[:, None] ^ codes[None, :])
-        assert sorted(got) == sorted((int(a), int(b)) for i, a in enumerate(codes) for j, b in enumerate(codes) if i < j and far[i, j] <= 3)
+def test_pairs_are_checked_before_they_are_left_out(docs):
+    """Texts on a template are alike to many by half to three quarters, and to one by more: no such pair is left out."""
+    rng = random.Random(7)
+    rows = list(enumerate(on_a_template(rng, 40, 60, 180)))
+    kept = sorted(r.doc_id for r in simhash.deduplicate(docs(*rows)).collect())
+    assert kept == slow_kept(rows) and 1 < len(kept) < len(rows)
+
+
+def test_all_pairs_at_the_threshold_are_found(docs):
+    """Pairs of similarity 0.8 to 0.83, of which fingerprints show only a part."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        w = [f"w{rng.randrange(9000)}" for _ in range(204)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: 183 + i % 4] + [f"x{rng.randrange(9000)}" for _ in range(21 - i % 4)]))]
+    kept = sorted(r.doc_id for r in simhash.deduplicate(docs(*rows)).collect())
+    assert kept == slow_kept(rows) == list(range(0, 300, 2))
+
+
+@pytest.mark.parametrize("few", [similar.FEW, 0])
+def test_links_join_all_pairs_however_common_their_shingles(spark, few):
+    rng = random.Random(9)
+    rows = list(enumerate([t + " one line that all of the texts have at their end" for t in on_a_template(rng, 30, 55, 160)] + ["", "a b", "a b c d e f"]))
+    texts = spark.createDataFrame(rows, "id long, text string")
+
+    def exact(pairs):
+        sets = {i: shingle_set(t) for i, t in rows}
+        good = [(u, v) for u, v in pairs.collect() if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]) - 1e-9]
+        return spark.createDataFrame(good, "u long, v long")
+
+    for group in (5, 1000):
+        links = simhash.components(similar.similar_links(texts, exact, 5, 0.8, sample=1, least=3, group=group, few=few)).collect()
+        root = {r.node: r.root for r in links}
+        assert sorted({root.get(i, i) for i, _ in rows}) == slow_kept(rows)

@@ -9,7 +9,6 @@ its pairs; components are then joined over the whole table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, free_name, lean, saved, ship
 from tidemark.llm.graph import components
+from tidemark.llm.similar import asked, similar_links, without
 
 BITS = 64
 #: Fingerprints that one search may hold; larger groups are dealt again by their other bits.
@@ -26,12 +26,8 @@ GROUP = 8192
 FAN = 16
 #: Fingerprints that are looked up together.
 QUERIES = 64
-#: Groups up to this size are compared pair by pair.
-SMALL = 32
 #: Hashes of a shingle sketch, and rows of two longs of which a list may be broadcast.
 SKETCH, FEW = 256, 200_000
-#: Bits of the masked patterns by which likely pairs meet.
-MASKED = 16
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_AT = (np.arange(8) * 256).astype(np.int64)
@@ -240,75 +236,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def _near_in_groups(radius: int):
-    """Rows (key, fp) sorted by key come in; links (u, v) go out: each group's pairs within radius, u < v as longs."""
-
-    def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        sizes = np.diff(np.append(starts, len(keys)))
-        found = [np.zeros((2, 0), np.int64)]
-        small = np.repeat(sizes <= SMALL, sizes)
-        for shift in range(1, min(SMALL, int(sizes.max()))):
-            a = np.flatnonzero((keys[shift:] == keys[:-shift]) & small[:-shift])
-            a = a[np.bitwise_count(fps[a] ^ fps[a + shift]) <= radius]
-            found.append(np.array([a, a + shift]))
-        for at, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            index = GrayIndex(fps[at : at + n])
-            for first in range(at, at + n, QUERIES):
-                q, hit = index.search(fps[first : min(first + QUERIES, at + n)], radius)
-                later = hit + at > q + first
-                found.append(np.array([q[later] + first, hit[later] + at]))
-        both = fps[np.concatenate(found, axis=1)].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], names=["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for b in batches:
-            keys = np.concatenate((keys, b.column("key").to_numpy()))
-            fps = np.concatenate((fps, b.column("fp").to_numpy().view(np.uint64)))
-            cut_at = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if cut_at:
-                yield links(keys[:cut_at], fps[:cut_at])
-                keys, fps = keys[cut_at:], fps[cut_at:]
-        if len(keys):
-            yield links(keys, fps)
-
-    return run
-
-
-def _masks(n: int, bits: int, seed: int) -> list[int]:
-    """n masks of so many bits, as signed longs."""
-    rng = np.random.default_rng(seed)
-    return [_signed(sum(1 << int(b) for b in rng.permutation(BITS)[:bits])) for _ in range(n)]
-
-
-def likely_links(fps: DataFrame, similarity: float = 0.8, recall: float = 0.95, group: int = GROUP) -> DataFrame:
-    """Links (u, v), u < v, over the distinct longs in column fp: nearly all pairs that stem from similar shingle sets.
-
-    Sets of Jaccard similarity j have fingerprints of which each bit differs with chance p = acos(2j / (1 + j)) / pi. Pairs
-    share a masked pattern of MASKED bits with chance (1 - p) ** MASKED; there are enough masks for recall. Within a
-    pattern's group the index finds pairs within the bits that such pairs differ by. Groups above group are dealt again by
-    masks of 8 further bits, as many as keep recall.
-    """
-    ship(fps.sparkSession)
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = round(BITS * p + 1.2 * math.sqrt(BITS * p * (1 - p)))
-    rows, bits = fps.select("fp").distinct(), MASKED
-    rows, out, seed = rows.select(F.lit(0).cast("long").alias("key"), "fp"), None, 1
-    while True:
-        many = math.ceil(math.log(1 / (1 - recall)) / (1 - p) ** bits)
-        masks = F.array(*[F.lit(m).cast("long") for m in _masks(many, bits, seed)])
-        rows = rows.select("key", "fp", F.posexplode(masks).alias("t", "mask")).select(F.xxhash64("key", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
-        big = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("key"))
-        last = big.isEmpty() or seed > 6
-        small = rows if last else rows.join(big, "key", "left_anti")
-        found = small.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_near_in_groups(radius)), "u long, v long")
-        out = found if out is None else out.unionByName(found)
-        if last:
-            return out.distinct()
-        rows, bits, seed = cut(rows.join(big, "key", "left_semi")), 8, seed + 1
-
-
 def shingle_sketch(text: str | None, shingle: int = 5, size: int = SKETCH) -> list[int]:
     """The size least hashes (31 bits) of the distinct shingles that fingerprint() takes, in order."""
     from xxhash import xxh32_intdigest
@@ -322,39 +249,44 @@ def _sketched(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [shingle_sketch(t, shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(made, pa.list_(pa.int32()))], names=["fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(made, pa.list_(pa.int32()))], names=["id", "sketch"])
 
     return run
 
 
+def _alike(texts: DataFrame, shingle: int, similarity: float):
+    """A function from pairs (u, v) of ids to those whose texts are similar, by the SKETCH least hashes of their shingles."""
+
+    def check(pairs: DataFrame) -> DataFrame:
+        of = asked(texts, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), FEW)
+        sketches = cut(of.mapInArrow(lean(_sketched(shingle)), "id long, sketch array<int>"))
+        met = pairs.join(sketches.select(F.col("id").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("id").alias("v"), F.col("sketch").alias("b")), "v")
+        least = F.slice(F.sort_array(F.array_union("a", "b")), 1, SKETCH)
+        alike = F.size(F.array_intersect(F.array_intersect(least, F.col("a")), F.col("b"))) >= similarity * F.size(least)
+        return met.filter(alike).select("u", "v")
+
+    return check
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one document of each group of near copies; the columns of docs.
 
-    Rows with equal fingerprints are copies. Others are linked if their fingerprints are likely_links() and their sets of
-    shingles, lower-cased words, have similarity or more, by the SKETCH least hashes of either: exact for texts of up to
-    SKETCH shingles, else within about 0.02. Of a group stays the row with the least doc_id, null last, of repeated rows
+    Rows with equal fingerprints are copies. Others are linked if their sets of shingles, lower-cased words, have similarity
+    or more, by the SKETCH least hashes of either: exact for texts of up to SKETCH shingles, else within about 0.02. No
+    such pair is missed: see similar. Of a group stays the row with the least doc_id, null last, of repeated rows
     one. Wordless and null texts are copies of each other. An empty table gives an empty one.
     """
     fp, rid = free_name(docs, "fp"), free_name(docs, "rid")
     rows = saved(fingerprints(docs.withColumn(rid, F.monotonically_increasing_id()), shingle), "fingerprinted")
     narrow = rows.select(F.col(rid).alias("rid"), F.col(fp).alias("fp"), "doc_id")
-    links = cut(likely_links(narrow, similarity))
-    ends = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    first = cut(narrow.groupBy("fp").agg(F.min("rid").alias("r")).join(ends, "fp").select("r", F.col("fp").alias("f")))
-    # a list of up to FEW longs may go to every task; a longer one is joined by shuffling
-    asked = F.broadcast(first) if first.count() <= FEW else first
-    texts = rows.select(F.col(rid).alias("rid"), F.col("text").cast("string").alias("text")).join(asked, F.col("rid") == F.col("r")).select(F.col("f").alias("fp"), "text")
-    sketches = cut(texts.mapInArrow(lean(_sketched(shingle)), "fp long, sketch array<int>"))
-    met = links.join(sketches.select(F.col("fp").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("fp").alias("v"), F.col("sketch").alias("b")), "v")
-    least = F.slice(F.sort_array(F.array_union("a", "b")), 1, SKETCH)
-    alike = F.size(F.array_intersect(F.array_intersect(least, F.col("a")), F.col("b"))) >= similarity * F.size(least)
-    groups = components(met.filter(alike).select("u", "v")).select(F.col("node").alias("fp"), "root")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
-    best = narrow.groupBy("fp").agg(F.min(order).alias("best")).join(groups, "fp", "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
+    first = cut(narrow.groupBy("fp").agg(F.min("rid").alias("id"), F.min(order).alias("best")))
+    texts = without(rows.select(F.col(rid).alias("id"), F.col("text").cast("string").alias("text")), narrow.select(F.col("rid").alias("id")).join(first, "id", "left_anti"), FEW)
+    groups = components(similar_links(texts, _alike(texts, shingle, similarity), shingle, similarity, few=FEW)).select(F.col("node").alias("id"), "root")
+    best = first.join(groups, "id", "left").select("best", F.coalesce("root", "id").alias("root"))
     kept = best.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
-    gone = cut(narrow.select("rid").join(kept, "rid", "left_anti").select(F.col("rid").alias(rid)))
-    gone = F.broadcast(gone) if gone.count() <= FEW else gone
-    return rows.join(gone, rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = narrow.select("rid").join(kept, "rid", "left_anti").select(F.col("rid").alias(rid))
+    return without(rows, gone, FEW).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hex16(fp: Column | str) -> Column:
