@@ -172,3 +172,14 @@ def test_links_join_all_pairs_however_common_their_shingles(spark, few):
         links = simhash.components(similar.similar_links(texts, exact, 5, 0.8, sample=1, least=3, group=group, few=few)).collect()
         root = {r.node: r.root for r in links}
         assert sorted({root.get(i, i) for i, _ in rows}) == slow_kept(rows)
+
+
+def test_equal_fingerprints_are_no_proof(docs):
+    """A line that is repeated 60 times decides all bits of a fingerprint; the sets still differ."""
+    rng = random.Random(10)
+    line = " ".join(f"common{i}" for i in range(9))
+    rows = [(i, " ".join([*(f"w{rng.randrange(9000)}" for _ in range(100)), *[line] * 60])) for i in range(12)]
+    assert len({simhash.fingerprint(t.encode(), 5) for _, t in rows}) == 1
+    rows += [(100 + i, " ".join(["own words", line, line, f"tail{i // 2}", *[f"r{i // 2} s t u v"] * (2 if i % 2 else 20)])) for i in range(4)]
+    kept = sorted(r.doc_id for r in simhash.deduplicate(docs(*rows)).collect())
+    assert kept == slow_kept(rows) == [*range(12), 100, 102]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, free_name, lean, saved, ship
 from tidemark.llm.graph import components
-from tidemark.llm.similar import asked, similar_links, without
+from tidemark.llm.similar import asked, similar_links, with_set_hash, without
 
 BITS = 64
 #: Fingerprints that one search may hold; larger groups are dealt again by their other bits.
@@ -271,16 +271,16 @@ def _alike(texts: DataFrame, shingle: int, similarity: float):
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one document of each group of near copies; the columns of docs.
 
-    Rows with equal fingerprints are copies. Others are linked if their sets of shingles, lower-cased words, have similarity
-    or more, by the SKETCH least hashes of either: exact for texts of up to SKETCH shingles, else within about 0.02. No
-    such pair is missed: see similar. Of a group stays the row with the least doc_id, null last, of repeated rows
-    one. Wordless and null texts are copies of each other. An empty table gives an empty one.
+    Rows with equal sets of shingles, lower-cased words, are copies, by a hash of 128 bits. Others are linked if their sets
+    have similarity or more, by the SKETCH least hashes of either: exact for texts of up to SKETCH shingles, else within
+    about 0.02. No such pair is missed: see similar. Of a group stays the row with the least doc_id, null last, of repeated
+    rows one. Wordless and null texts are copies of each other. An empty table gives an empty one.
     """
-    fp, rid = free_name(docs, "fp"), free_name(docs, "rid")
-    rows = saved(fingerprints(docs.withColumn(rid, F.monotonically_increasing_id()), shingle), "fingerprinted")
-    narrow = rows.select(F.col(rid).alias("rid"), F.col(fp).alias("fp"), "doc_id")
+    whole, rid = free_name(docs, "whole"), free_name(docs, "rid")
+    rows = saved(with_set_hash(docs.withColumn(rid, F.monotonically_increasing_id()), whole, shingle), "hashed")
+    narrow = rows.select(F.col(rid).alias("rid"), F.col(whole).alias("whole"), "doc_id")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
-    first = cut(narrow.groupBy("fp").agg(F.min("rid").alias("id"), F.min(order).alias("best")))
+    first = cut(narrow.groupBy("whole").agg(F.min("rid").alias("id"), F.min(order).alias("best")))
     texts = without(rows.select(F.col(rid).alias("id"), F.col("text").cast("string").alias("text")), narrow.select(F.col("rid").alias("id")).join(first, "id", "left_anti"), FEW)
     groups = components(similar_links(texts, _alike(texts, shingle, similarity), shingle, similarity, few=FEW)).select(F.col("node").alias("id"), "root")
     best = first.join(groups, "id", "left").select("best", F.coalesce("root", "id").alias("root"))

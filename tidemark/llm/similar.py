@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, lean, ship
+from tidemark.llm.common import cut, free_name, lean, ship
 from tidemark.llm.graph import components
 
 #: Rows of a few longs of which a list may be broadcast.
@@ -44,6 +44,22 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
 
 
+def with_set_hash(docs: DataFrame, name: str, shingle: int = 5, text: str = "text") -> DataFrame:
+    """docs with name: 16 bytes that are equal where the sets of shingles are, by XXH3 over all shingles' hashes."""
+    ship(docs.sparkSession)
+    source = docs.withColumn(free_name(docs, "hashed_text"), F.col(f"`{text}`").cast("string"))
+    schema = docs.withColumn(name, F.lit(None).cast("binary")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            made = [xxh3_128_digest(shingle_hashes(t.as_py(), shingle).tobytes()) for t in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.binary())], names=schema.names)
+
+    return source.mapInArrow(lean(run), schema)
+
+
 def needed(n: np.ndarray | int, m: np.ndarray | int, similarity: float) -> np.ndarray | float:
     """The least overlap of similar sets of n and m."""
     return similarity / (1 + similarity) * (n + m) - _EPS
