@@ -183,3 +183,15 @@ def test_equal_fingerprints_are_no_proof(docs):
     rows += [(100 + i, " ".join(["own words", line, line, f"tail{i // 2}", *[f"r{i // 2} s t u v"] * (2 if i % 2 else 20)])) for i in range(4)]
     kept = sorted(r.doc_id for r in simhash.deduplicate(docs(*rows)).collect())
     assert kept == slow_kept(rows) == [*range(12), 100, 102]
+
+
+def test_long_texts_are_checked_exactly(docs):
+    """Pairs of about 1000 shingles a little below and above 0.8, which a sample of their shingles can't tell apart."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        shared = 893 + (-8, 8)[i % 2]
+        w = [f"w{rng.randrange(90000)}" for _ in range(1004)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:shared] + [f"x{rng.randrange(90000)}" for _ in range(1004 - shared)]))]
+    kept = sorted(r.doc_id for r in simhash.deduplicate(docs(*rows)).collect())
+    assert kept == slow_kept(rows) and 60 < len(kept) < 120

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, free_name, lean, saved, ship
 from tidemark.llm.graph import components
-from tidemark.llm.similar import asked, similar_links, with_set_hash, without
+from tidemark.llm.similar import asked, needed, shingle_hashes, similar_links, with_set_hash, without
 
 BITS = 64
 #: Fingerprints that one search may hold; larger groups are dealt again by their other bits.
@@ -26,8 +26,8 @@ GROUP = 8192
 FAN = 16
 #: Fingerprints that are looked up together.
 QUERIES = 64
-#: Hashes of a shingle sketch, and rows of two longs of which a list may be broadcast.
-SKETCH, FEW = 256, 200_000
+#: Rows of two longs of which a list may be broadcast.
+FEW = 200_000
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_AT = (np.arange(8) * 256).astype(np.int64)
@@ -236,34 +236,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_sketch(text: str | None, shingle: int = 5, size: int = SKETCH) -> list[int]:
-    """The size least hashes (31 bits) of the distinct shingles that fingerprint() takes, in order."""
-    from xxhash import xxh32_intdigest
-
-    words = (text or "").encode().lower().split()
-    found = {xxh32_intdigest(b" ".join(words[i : i + shingle])) >> 1 for i in range(max(1, len(words) - shingle + 1))}
-    return sorted(found)[:size]
-
-
-def _sketched(shingle: int):
+def _hash_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [shingle_sketch(t, shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(made, pa.list_(pa.int32()))], names=["id", "sketch"])
+            made = [shingle_hashes(t, shingle).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(made, pa.list_(pa.int64()))], names=["id", "hashes"])
 
     return run
 
 
 def _alike(texts: DataFrame, shingle: int, similarity: float):
-    """A function from pairs (u, v) of ids to those whose texts are similar, by the SKETCH least hashes of their shingles."""
+    """A function from pairs (u, v) of ids to those whose sets of shingles, by hashes of 64 bits, have similarity or more."""
 
     def check(pairs: DataFrame) -> DataFrame:
         of = asked(texts, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), FEW)
-        sketches = cut(of.mapInArrow(lean(_sketched(shingle)), "id long, sketch array<int>"))
-        met = pairs.join(sketches.select(F.col("id").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("id").alias("v"), F.col("sketch").alias("b")), "v")
-        least = F.slice(F.sort_array(F.array_union("a", "b")), 1, SKETCH)
-        alike = F.size(F.array_intersect(F.array_intersect(least, F.col("a")), F.col("b"))) >= similarity * F.size(least)
-        return met.filter(alike).select("u", "v")
+        sets = cut(of.mapInArrow(lean(_hash_sets(shingle)), "id long, hashes array<long>"))
+        met = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
+        return met.filter(F.size(F.array_intersect("a", "b")) >= needed(F.size("a"), F.size("b"), similarity)).select("u", "v")
 
     return check
 
@@ -271,10 +260,9 @@ def _alike(texts: DataFrame, shingle: int, similarity: float):
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one document of each group of near copies; the columns of docs.
 
-    Rows with equal sets of shingles, lower-cased words, are copies, by a hash of 128 bits. Others are linked if their sets
-    have similarity or more, by the SKETCH least hashes of either: exact for texts of up to SKETCH shingles, else within
-    about 0.02. No such pair is missed: see similar. Of a group stays the row with the least doc_id, null last, of repeated
-    rows one. Wordless and null texts are copies of each other. An empty table gives an empty one.
+    Rows with equal sets of shingles, lower-cased words, are copies, by a hash of 128 bits. Others are linked if their whole
+    sets have similarity or more; no such pair is missed: see similar. Of a group stays the row with the least doc_id, null
+    last, of repeated rows one. Wordless and null texts are copies of each other. An empty table gives an empty one.
     """
     whole, rid = free_name(docs, "whole"), free_name(docs, "rid")
     rows = saved(with_set_hash(docs.withColumn(rid, F.monotonically_increasing_id()), whole, shingle), "hashed")
