@@ -161,7 +161,7 @@ def test_all_pairs_at_the_threshold_are_found(docs):
 def test_links_join_all_pairs_however_common_their_shingles(spark, few):
     rng = random.Random(9)
     rows = list(enumerate([t + " one line that all of the texts have at their end" for t in on_a_template(rng, 30, 55, 160)] + ["", "a b", "a b c d e f"]))
-    texts = spark.createDataFrame(rows, "id long, text string")
+    texts = similar.with_sets(spark.createDataFrame(rows, "id long, text string"), "whole", "outline").drop("whole")
 
     def exact(pairs):
         sets = {i: shingle_set(t) for i, t in rows}

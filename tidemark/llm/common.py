@@ -42,17 +42,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again; later reads prune columns. See drop_saved()."""
+    return saved_at(df, name)[0]
+
+
+def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """saved() and the path, for drop_path()."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete one path of fresh_path(); nothing may read it any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    spark.sparkContext._tidemark_paths = [x for x in spark.sparkContext._tidemark_paths if x != path]
 
 
 def drop_saved(spark: SparkSession) -> None:
     """Delete what this application has put under the shared folder; results that still read it must be written first."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in getattr(spark.sparkContext, "_tidemark_paths", []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        drop_path(spark, path)
     spark.sparkContext._tidemark_paths = []
 
 

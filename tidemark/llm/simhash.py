@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, free_name, lean, saved, ship
 from tidemark.llm.graph import components
-from tidemark.llm.similar import asked, needed, shingle_hashes, similar_links, with_set_hash, without
+from tidemark.llm.similar import asked, needed, shingle_hashes, similar_links, with_sets, without
 
 BITS = 64
 #: Fingerprints that one search may hold; larger groups are dealt again by their other bits.
@@ -264,12 +264,12 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     sets have similarity or more; no such pair is missed: see similar. Of a group stays the row with the least doc_id, null
     last, of repeated rows one. Wordless and null texts are copies of each other. An empty table gives an empty one.
     """
-    whole, rid = free_name(docs, "whole"), free_name(docs, "rid")
-    rows = saved(with_set_hash(docs.withColumn(rid, F.monotonically_increasing_id()), whole, shingle), "hashed")
+    whole, outline, rid = free_name(docs, "whole"), free_name(docs, "outline"), free_name(docs, "rid")
+    rows = saved(with_sets(docs.withColumn(rid, F.monotonically_increasing_id()), whole, outline, shingle), "hashed")
     narrow = rows.select(F.col(rid).alias("rid"), F.col(whole).alias("whole"), "doc_id")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
     first = cut(narrow.groupBy("whole").agg(F.min("rid").alias("id"), F.min(order).alias("best")))
-    texts = without(rows.select(F.col(rid).alias("id"), F.col("text").cast("string").alias("text")), narrow.select(F.col("rid").alias("id")).join(first, "id", "left_anti"), FEW)
+    texts = without(rows.select(F.col(rid).alias("id"), F.col("text").cast("string").alias("text"), F.col(outline).alias("outline")), narrow.select(F.col("rid").alias("id")).join(first, "id", "left_anti"), FEW)
     groups = components(similar_links(texts, _alike(texts, shingle, similarity), shingle, similarity, few=FEW)).select(F.col("node").alias("id"), "root")
     best = first.join(groups, "id", "left").select("best", F.coalesce("root", "id").alias("root"))
     kept = best.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, free_name, lean, ship
+from tidemark.llm.common import cut, drop_path, free_name, lean, saved_at, ship
 from tidemark.llm.graph import components
 
 #: Rows of a few longs of which a list may be broadcast.
@@ -44,18 +44,25 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def with_set_hash(docs: DataFrame, name: str, shingle: int = 5, text: str = "text") -> DataFrame:
-    """docs with name: 16 bytes that are equal where the sets of shingles are, by XXH3 over all shingles' hashes."""
+def with_sets(docs: DataFrame, whole: str, outline: str, shingle: int = 5, text: str = "text") -> DataFrame:
+    """docs with whole, 16 bytes that are equal where the sets of shingles are (XXH3 over the hashes), and outline array<long>:
+    the size of the set and PARITIES longs of its parities."""
     ship(docs.sparkSession)
     source = docs.withColumn(free_name(docs, "hashed_text"), F.col(f"`{text}`").cast("string"))
-    schema = docs.withColumn(name, F.lit(None).cast("binary")).schema
+    schema = docs.withColumn(whole, F.lit(None).cast("binary")).withColumn(outline, F.lit(None).cast("array<long>")).schema
+    size = 64 * PARITIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for b in batches:
-            made = [xxh3_128_digest(shingle_hashes(t.as_py(), shingle).tobytes()) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.binary())], names=schema.names)
+            digests, outlines = [], []
+            for t in b.column(b.num_columns - 1):
+                found = shingle_hashes(t.as_py(), shingle)
+                digests.append(xxh3_128_digest(found.tobytes()))
+                odd = np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size) & 1
+                outlines.append(np.concatenate(([len(found)], np.packbits(odd.astype(np.uint8)).view(np.int64))))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(digests, pa.binary()), pa.array(outlines, pa.list_(pa.int64()))], names=schema.names)
 
     return source.mapInArrow(lean(run), schema)
 
@@ -198,17 +205,12 @@ def _apart(similarity: float) -> Callable:
     return _grouped(names, 2, each)
 
 
-def _with_parities(shingle: int) -> Callable:
-    """Rows (id, text) come in; (id, p0, p1, ...) go out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = np.uint64(64 * PARITIES)
-        for b in batches:
-            made = [np.bincount((shingle_hashes(t, shingle) % size).astype(np.int64), minlength=64 * PARITIES) & 1 for t in b.column("text").to_pylist()]
-            bits = np.packbits(np.array(made, np.uint8).reshape(-1, 64 * PARITIES), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(bits[:, k].copy()) for k in range(PARITIES)]], names=["id", *[f"p{k}" for k in range(PARITIES)]])
-
-    return run
+def _outlines_fit(pairs: DataFrame, outlines: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose parities differ no more than those of similar sets can."""
+    met = pairs.join(outlines.select(F.col("id").alias("u"), F.col("outline").alias("a")), "u").join(outlines.select(F.col("id").alias("v"), F.col("outline").alias("b")), "v")
+    differ = sum((F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(1, PARITIES + 1)), F.lit(0))
+    n, m = F.col("a")[0], F.col("b")[0]
+    return met.filter(differ <= n + m - 2 * needed(n, m, similarity)).select("u", "v")
 
 
 def asked(texts: DataFrame, ids: DataFrame, few: int = FEW) -> DataFrame:
@@ -234,7 +236,7 @@ def common_shingles(texts: DataFrame, shingle: int, sample: int, least: int) ->
 
 
 def similar_links(texts: DataFrame, check: Callable[[DataFrame], DataFrame], shingle: int = 5, similarity: float = 0.8, sample: int = SAMPLE, least: int = COMMON, group: int = GROUP, few: int = FEW) -> DataFrame:
-    """Links (u, v) over the ids of texts (id long from 0 up, text) that join all that pairs of similarity or more join.
+    """Links (u, v) over the ids of texts (id long from 0 up, text, outline) that join all that pairs of similarity or more join.
 
     check gives those of distinct pairs (u, v) that are similar; no pair is left out but by bounds that similar ones
     can't exceed, or because links join it already. Common shingles' texts are dealt to groups by chance in the first round;
@@ -245,25 +247,26 @@ def similar_links(texts: DataFrame, check: Callable[[DataFrame], DataFrame], shi
     keys, counts = common_shingles(texts, shingle, sample, least)
     parts = -(-counts * sample // group)
     common = spark.sparkContext.broadcast((keys, counts, parts))
-    rows = texts.mapInArrow(lean(_prefixes(shingle, similarity, common)), "key long, id long, n int, place int, part int")
+    rows = texts.select("id", "text").mapInArrow(lean(_prefixes(shingle, similarity, common)), "key long, id long, n int, place int, part int")
     dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").select("key", "part", "id", "n", "place")
-    met = cut(dealt.mapInArrow(lean(_meeting(similarity)), "key long, id long, n int, place int, x long, y long, z long"))
+    met, path = saved_at(dealt.mapInArrow(lean(_meeting(similarity)), "key long, id long, n int, place int, x long, y long, z long"), "met")
+    outlines = texts.select("id", "outline")
 
     def pairs(found: DataFrame) -> DataFrame:
         return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     near = met.select(F.col("id").alias("u"), F.explode(F.array("x", "y", "z")).alias("v")).filter("v >= 0")
-    first = cut(check(cut(pairs(near))))
+    first = cut(check(cut(_outlines_fit(pairs(near), outlines, similarity))))
     roots = cut(components(first).select(F.col("node").alias("id"), "root"))
     side = F.broadcast(roots) if roots.count() <= few else roots
     rooted = met.select("key", "id", "n", "place").join(side, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_ = cut(rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key"))
     left = cut(rooted.join(F.broadcast(open_) if open_.count() <= few else open_, "key", "left_semi"))
-    parity = cut(asked(texts, left.select("id").distinct(), few).mapInArrow(lean(_with_parities(shingle)), "id long, " + ", ".join(f"p{k} long" for k in range(PARITIES))))
+    drop_path(spark, path)
     hot = spark.createDataFrame(pa.table({"key": keys.view(np.int64)[parts > 1], "parts": parts[parts > 1]})) if (parts > 1).any() else spark.createDataFrame([], "key long, parts long")
     blocked = left.join(F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("block", F.expr("pmod(xxhash64(id), parts)"))
     spread = blocked.select("*", F.explode(F.expr("sequence(0L, parts - 1)")).alias("o")).withColumn("pair", F.expr("least(block, o) * parts + greatest(block, o)"))
-    whole = spread.join(F.broadcast(parity) if parity.count() <= few // 8 else parity, "id")
-    sorted_ = whole.repartition("key", "pair").sortWithinPartitions("key", "pair").select("key", "pair", "id", "n", "place", "root", "block", *[f"p{k}" for k in range(PARITIES)])
+    whole = spread.join(outlines, "id").select("key", "pair", "id", "n", "place", "root", "block", *[F.col("outline")[1 + k].alias(f"p{k}") for k in range(PARITIES)])
+    sorted_ = whole.repartition("key", "pair").sortWithinPartitions("key", "pair")
     second = check(cut(pairs(sorted_.mapInArrow(lean(_apart(similarity)), "u long, v long"))))
     return first.unionByName(second)
