@@ -68,3 +68,20 @@ def test_tables(docs, odd):
 def test_overlapping_spans_are_redacted_whole(docs):
     text = "a token = 0123456789abcdef0123456789abcdef0123 b"
     assert c.redact(docs((1, text))).collect()[0].text == "a <assign> b"
+
+
+def test_all_parts_near_a_secret_count(docs):
+    text = "client_id=svc-4471 username=deploy\npassword=Tr0ub4dor77x\nhost=db.example.com\nendpoint=https://api.example.com/v1"
+    parts = ["client_id=svc-4471", "username=deploy", "host=db.example.com"]
+    assert kinds(text)[:3] == parts and "api.example.com/v1" in kinds(text)[3]
+    at = [s[1] for s in c.scan_text(text)[0]]
+    assert c.scan_text(text)[1] == [(at[0], at[2], at[3]), (at[1], at[2], at[4])]
+    clean = c.redact(docs((1, text))).collect()[0].text
+    assert not any(x in clean for x in ("svc-4471", "deploy", "Tr0ub4dor77x", "db.example", "api.example"))
+
+
+def test_an_endpoint_counts_beside_a_strong_secret_alone():
+    text = "password=Tr0ub4dor77x\nhost=db.example.com"
+    assert kinds(text) == ["host=db.example.com"]
+    assert c.scan_text(text)[1] == [(-1, 0, text.index("host"))]
+    assert kinds(f"{SECRET}\nhost=db.example.com") == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,20 +47,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _near(spans: list[tuple[int, int]], start: int, end: int, low: int, high: int) -> tuple[int, int] | None:
-    """The span in the scope (low, high) nearest to (start, end) and within REACH of it; spans are sorted and don't overlap."""
-    i = bisect_left(spans, (start, end))
-    best = None
-    for s in spans[max(0, i - 1) : i + 1]:
-        gap = max(s[0] - end, start - s[1], 0)
-        if gap <= REACH and s[0] >= low and s[1] <= high and (best is None or gap < best[0]):
-            best = (gap, s)
-    return best and best[1]
+def _near(spans: list[tuple[int, int]], start: int, end: int, low: int, high: int) -> list[tuple[int, int]]:
+    """The spans in the scope (low, high) within REACH of (start, end); spans are sorted and don't overlap."""
+    first = bisect_left(spans, max(low, start - REACH), key=lambda s: s[1])
+    out = []
+    for s in spans[first:]:
+        if s[0] > end + REACH or s[1] > high:
+            break
+        if s[0] >= low:
+            out.append(s)
+    return out
 
 
 def linked_spans(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, int]]]:
     """(weak spans, links (identifier, secret, endpoint) by their starts, -1 for none).
 
+    A secret's links name each identifier and each endpoint near it once, side by side in the order of the text.
+
     Scopes are the parts of a text between blank lines. A weak secret counts where an identifier is near it in its scope; a
     weak identifier and an endpoint count where they are near a secret that is strong or so linked.
     """
@@ -67,7 +71,7 @@ def linked_spans(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tupl
     strong = sorted((a, b) for k, a, b in base if k != "access")
     low = text.lower()
     weak_ids = [m.span() for m in _IDENT.finditer(text)] if any(x in low for x in _IDENT_NEEDS) else []
-    if not (strong_ids or weak_ids):
+    if not (strong or strong_ids or weak_ids):
         return [], []
     taken = sorted((a, b) for _, a, b in base)
 
@@ -95,21 +99,18 @@ def linked_spans(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tupl
 
     found: set[tuple[str, int, int]] = set()
     links: list[tuple[int, int, int]] = []
-    weak_id_set = set(weak_ids)
+    weak_id_set, strong_set = set(weak_ids), set(strong)
     for s in sorted(strong + weak):
         here = scope(s[0])
-        ident = _near(ids, *s, *here)
-        if ident is None:
+        near_ids = _near(ids, *s, *here)
+        if not near_ids and s not in strong_set:
             continue
-        end = _near(endpoints, *s, *here)
-        links.append((ident[0], s[0], -1 if end is None else end[0]))
+        near_ends = _near(endpoints, *s, *here)
+        links += [(i[0], s[0], e[0]) for i, e in zip_longest(near_ids, near_ends, fillvalue=(-1, -1))]
         found.add(("secret", *s))
-        if ident in weak_id_set:
-            found.add(("ident", *ident))
-        if end is not None:
-            found.add(("endpoint", *end))
-    taken_set = set(strong)
-    return [x for x in found if x[1:] not in taken_set], links
+        found.update(("ident", *i) for i in near_ids if i in weak_id_set)
+        found.update(("endpoint", *e) for e in near_ends)
+    return [x for x in found if x[1:] not in strong_set], links
 
 
 def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
