@@ -2,7 +2,7 @@
 
 Sets of Jaccard similarity t or more share one of the first n - ceil(t * n) + 1 of their n shingles in any order that is the
 same for all sets. The order here puts shingles of many texts last, by counts from a sample, and goes by hash among others;
-so texts meet at rare shingles, and no choice of it loses a pair. Texts that meet at a shingle are linked to some neighbours
+so texts meet at rare shingles, and no choice of it loses a pair. Texts that meet at a shingle are linked to a neighbour
 first. Then all pairs that the links of the first round don't join are compared, by bounds that no similar pair exceeds.
 """
 
@@ -150,23 +150,19 @@ def _may(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, similarity:
 
 
 def _meeting(similarity: float) -> Callable:
-    """Rows (key, part, id, n, place) sorted so come in; those that meet others go out, each with neighbours or -1.
+    """Rows (key, part, id, n, place) sorted so come in; those that meet others go out, each with the one before or -1.
 
-    Neighbours are the two before by id and the one before in another order, if they may be similar.
+    The one before, by id, is named if they may be similar.
     """
 
     def each(rows: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         key, part, ids, n, place = rows
         group = np.repeat(np.arange(len(starts)), sizes)
         keep = (np.repeat(sizes, sizes) > 1) | (part >= 0)
-        found = [np.full(len(ids), -1) for _ in range(3)]
-        plain = np.arange(len(ids))
-        other = np.lexsort((_mixed(ids.view(np.uint64)), group))
-        for out, order, back in zip(found, (plain, plain, other), (1, 2, 1), strict=True):
-            a, b = order[back:], order[:-back]
-            ok = (group[a] == group[b]) & _may(n[a], n[b], place[a], place[b], similarity)
-            out[a[ok]] = ids[b[ok]]
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, ids, n, place, *found)], names=["key", "id", "n", "place", "x", "y", "z"])
+        before = np.full(len(ids), -1)
+        ok = (group[1:] == group[:-1]) & _may(n[1:], n[:-1], place[1:], place[:-1], similarity)
+        before[1:][ok] = ids[:-1][ok]
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, ids, n, place, before)], names=["key", "id", "n", "place", "x"])
 
     return _grouped(["key", "part", "id", "n", "place"], 2, each)
 
@@ -249,13 +245,13 @@ def similar_links(texts: DataFrame, check: Callable[[DataFrame], DataFrame], shi
     common = spark.sparkContext.broadcast((keys, counts, parts))
     rows = texts.select("id", "text").mapInArrow(lean(_prefixes(shingle, similarity, common)), "key long, id long, n int, place int, part int")
     dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").select("key", "part", "id", "n", "place")
-    met, path = saved_at(dealt.mapInArrow(lean(_meeting(similarity)), "key long, id long, n int, place int, x long, y long, z long"), "met")
+    met, path = saved_at(dealt.mapInArrow(lean(_meeting(similarity)), "key long, id long, n int, place int, x long"), "met")
     outlines = texts.select("id", "outline")
 
     def pairs(found: DataFrame) -> DataFrame:
         return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    near = met.select(F.col("id").alias("u"), F.explode(F.array("x", "y", "z")).alias("v")).filter("v >= 0")
+    near = met.select(F.col("id").alias("u"), F.col("x").alias("v")).filter("v >= 0")
     first = cut(check(cut(_outlines_fit(pairs(near), outlines, similarity))))
     roots = cut(components(first).select(F.col("node").alias("id"), "root"))
     side = F.broadcast(roots) if roots.count() <= few else roots
