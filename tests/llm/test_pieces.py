@@ -28,8 +28,7 @@ def test_agenda_equals_library(coder, library):
     for t in texts:
         ids = [*library.encode(t), 2]
         assert coder.encode_text(t) == " ".join(map(str, ids)), repr(t)
-        assert coder.decode(ids) == library.decode(ids), repr(t)
-    assert coder.differing == 0
+        assert coder.decode(ids) == coder.coded_text(t)[1] == library.decode(ids), repr(t)
 
 
 def test_list_and_heap_agree(coder):
@@ -62,11 +61,38 @@ def test_empty_and_kept_columns(docs):
     assert got.n_tokens == 1 and got.source == "a"
 
 
+def test_clashing_columns(spark, docs):
+    rows = docs((1, "a b")).selectExpr("doc_id", "text", "1 AS ids", "2 AS n_tokens", "3 AS encoded_text", "4 AS decoded")
+    keep = ["doc_id", "ids", "n_tokens", "encoded_text", "decoded"]
+    assert pieces.digests(rows, keep=keep).columns == [*keep, "_n_tokens", "ids_sha256", "decoded_sha256"]
+    got = pieces.encode(rows, keep=keep)
+    assert got.columns == [*keep, "_ids", "_decoded"] and got.collect()[0]._decoded == "a b"
+
+
+def test_a_wrong_agenda_stops_the_job(coder, library):
+    broken = pieces.Coder(pieces.model_bytes(pieces.default_model()))
+    broken.merge = lambda symbols: [i for x in symbols for i in ([broken.ids[x]] if x in broken.ids else [broken.bytes[b] for b in x.encode()])]
+    with pytest.raises(RuntimeError):
+        pieces._coded_batch(broken, ["hello wonderful world"])
+    decoder = pieces.Coder(pieces.model_bytes(pieces.default_model()))
+    decoder.pieces = [x.upper() for x in decoder.pieces]
+    with pytest.raises(RuntimeError):
+        pieces._coded_batch(decoder, ["hello wonderful world"])
+    with pytest.raises(RuntimeError):
+        coder.hold("hello", [1, 2])
+
+
 def test_memory_keeps_what_comes_again():
     made = []
-    m = pieces.Memory(lambda k: made.append(k) or k.upper(), 3)
+    m = pieces.Memory(lambda k: made.append(k) or k.upper(), lambda k, v: 1, 300)
     assert [m[k] for k in "aabbxyzuvwab"] == list("AABBXYZUVWAB")
     assert made == list("abxyzuvw") and set(m) == {"a", "b"}
-    for k in "cdefghcdefgh":
-        assert m[k] == k.upper()
-    assert max(map(len, (m, m.old, m.once, m.once_old))) <= 3
+
+
+def test_memory_is_bounded_by_bytes():
+    m = pieces.Memory(lambda k: (k, k), pieces._weight, 50_000)
+    for i in [*range(3000), *range(3000)]:
+        assert m[str(i)] == (str(i), str(i))
+    for part in (m, m.old, m.once, m.once_old):
+        assert sum(pieces._weight(k, v) for k, v in part.items()) <= 50_000
+    assert m["x" * 1000] == ("x" * 1000,) * 2 and all("x" * 1000 not in part for part in (m, m.old, m.once, m.once_old))

@@ -3,7 +3,8 @@
 A text becomes symbols, one for each character; an agenda of adjacent pairs, ordered by the score of the piece that a pair
 makes and then from the left, gives the next merge until no pair makes a piece. Characters without a piece become bytes.
 As no piece goes from another character into a space mark, and none of several characters has a line feed, a text falls into segments that
-never merge with each other; each distinct segment is encoded once for a worker, and checked then against the library.
+never merge with each other; a worker remembers the ids of segments and what these ids decode to. In each Arrow batch the
+library encodes and decodes two whole texts and a sample of the new segments; any difference stops the job.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import lean, ship
+from tidemark.llm.common import free_name, lean, ship
 
 MARK = "▁"
-#: Segments that a worker remembers: see Memory.
-REMEMBERED = 100_000
+#: Bytes of segments in each of the four generations that a worker remembers: see Memory.
+REMEMBERED = 1 << 25
+#: Of so many distinct segments one is held against the library when it is first met.
+SAMPLED = 16
 #: From so many symbols on the agenda is a heap; below, a list.
 HEAP_FROM = 48
 _NEVER = 1 << 60
@@ -54,33 +58,48 @@ def model_bytes(path: str) -> bytes:
 
 
 class Memory(dict):
-    """What make(key) gives, remembered for keys that come again.
+    """What make(key) gives, remembered for keys that come again, within a bound in bytes.
 
     A key is on probation when it is first met, and enters the dict when it is met again, so keys that come once don't
-    push others out. Each part is kept in two generations of size keys at most.
+    push others out. Each part is kept in two generations of most bytes at most, by weigh(key, value); a value that
+    weighs over a hundredth of that is never kept.
     """
 
-    def __init__(self, make, size: int):
+    def __init__(self, make, weigh, most: int):
         super().__init__()
-        self.make, self.size, self.old, self.once, self.once_old = make, size, {}, {}, {}
+        self.make, self.weigh, self.most = make, weigh, most
+        self.forget()
 
-    def __missing__(self, key: str) -> str:
+    def __missing__(self, key: str):
         value = self.old.get(key) or self.once.get(key) or self.once_old.get(key)
-        if value is None:
+        met = value is not None
+        if not met:
             value = self.make(key)
-            if len(self.once) >= self.size:
-                self.once_old, self.once = self.once, {}
-            self.once[key] = value
+        size = self.weigh(key, value)
+        if 100 * size > self.most:
             return value
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if met:
+            if self.held + size > self.most:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.held += size
+        else:
+            if self.held_once + size > self.most:
+                self.once_old, self.once, self.held_once = self.once, {}, 0
+            self.once[key] = value
+            self.held_once += size
         return value
 
     def forget(self) -> None:
         self.clear()
         self.old, self.once, self.once_old = {}, {}, {}
+        self.held = self.held_once = 0
+
+
+def _weight(key: str, value: tuple[str, str]) -> int:
+    """About the bytes that an entry takes: four for each character, and what Python adds for three strings, a pair and a slot."""
+    return 420 + 4 * (len(key) + len(value[1])) + len(value[0])
 
 
 class Coder:
@@ -103,8 +122,7 @@ class Coder:
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         self.mark = self.ids[MARK]
         self.end = lib.eos_id()
-        self.words = Memory(lambda k: " ".join(map(str, self._checked(k))), remembered)
-        self.differing = 0
+        self.words = Memory(self._coded, _weight, remembered)
 
     def merge(self, symbols: str) -> list[int]:
         """The ids of a run of symbols, by the agenda alone."""
@@ -156,23 +174,26 @@ class Coder:
                 heapq.heappush(agenda, (r, h, parts[h] + made))
         return [p for p in parts if p]
 
-    def _checked(self, key: str) -> list[int]:
-        """The ids of a key of keys(): checked against the library, whose ids hold if they differ."""
-        if key.startswith("\n"):
-            own = [self.bytes[10]] + (self.merge(key[1:]) if len(key) > 1 else [])
+    def _coded(self, key: str) -> tuple[str, str]:
+        """(ids of a key of keys() in decimal, the text that they decode to)."""
+        if key[:1] == "\n":
+            ids = [self.bytes[10], *(self.merge(key[1:]) if len(key) > 1 else [])]
+        else:
+            ids = self.merge(key[1:] if key[:1] == "\0" else MARK + key)
+        if crc32(key.encode()) % SAMPLED == 0:
+            self.hold(key, ids)
+        return " ".join(map(str, ids)), self.decode_run(ids)
+
+    def hold(self, key: str, ids: list[int]) -> None:
+        """Raise unless the library gives these ids to a key of keys()."""
+        if key[:1] == "\n":
             theirs = self.library.encode(key)[1:]
-        elif key.startswith("\0"):
-            own, theirs = self.merge(key[1:]), self.library.encode("\n" + key[1:])[2:]
+        elif key[:1] == "\0":
+            theirs = self.library.encode("\n" + key[1:])[2:]
         else:
-            own, theirs = self.merge(MARK + key), self.library.encode(key or "\n")
-            theirs = theirs if key else theirs[:1]
-        if own != theirs:
-            self.differing += 1
-            own = theirs
-        source = key if key[:1] == "\n" else key[1:] if key[:1] == "\0" else f" {key}"
-        if self.decode_run(own) != source.replace(MARK, " "):
-            raise RuntimeError(f"segment {key!r} does not decode to itself")
-        return own
+            theirs = self.library.encode(key) if key else self.library.encode("\n")[:1]
+        if ids != theirs:
+            raise RuntimeError(f"segment {key!r}: the agenda gives {ids}, the library {theirs}")
 
     def keys(self, text: str) -> list[str]:
         """Segments of a text: a word stands for itself after a space mark; one after a line feed has it in front; other
@@ -191,10 +212,24 @@ class Coder:
                 out.append("\0" + s)
         return out
 
+    def coded_text(self, text: str) -> tuple[str, str]:
+        """(decimal ids of a text with the end id, joined by one space; the text that these ids decode to).
+
+        The decoded text is that of the segments' ids in a row, less the space of the mark put in front. A segment's bytes
+        are whole characters, so no run of bytes needs its neighbours.
+        """
+        found = [self.words[k] for k in self.keys(text)]
+        if not found:
+            return str(self.end), ""
+        decoded = "".join([x[1] for x in found])
+        ids = " ".join([x[0] for x in found])
+        if not self.kind[int(ids.split(" ", 1)[0])] and decoded[:1] == " ":
+            decoded = decoded[1:]
+        return f"{ids} {self.end}", decoded
+
     def encode_text(self, text: str) -> str:
         """The decimal ids of a text, with the end id, joined by one space."""
-        keys = self.keys(text)
-        return f"{' '.join([self.words[k] for k in keys])} {self.end}" if keys else str(self.end)
+        return self.coded_text(text)[0]
 
     def decode_run(self, ids: list[int]) -> str:
         """Pieces as text, space marks as spaces, bytes as UTF-8, broken ones as U+FFFD each; controls give nothing."""
@@ -222,9 +257,11 @@ class Coder:
         first = next((i for i in ids if self.kind[i] != "control"), None)
         return text[1:] if first is not None and not self.kind[first] and text.startswith(" ") else text
 
-    def agrees(self, text: str) -> bool:
-        ids = [*self.library.encode(text), self.end]
-        return self.encode_text(text) == " ".join(map(str, ids)) and self.library.decode(ids) == self.decode(ids)
+    def hold_text(self, text: str, ids: str, decoded: str) -> None:
+        """Raise unless the library encodes text to ids and decodes these to decoded."""
+        theirs = [*self.library.encode(text), self.end]
+        if ids != " ".join(map(str, theirs)) or decoded != self.library.decode(theirs):
+            raise RuntimeError(f"text of {len(text)} characters, {text[:80]!r}: the library encodes or decodes it otherwise")
 
 
 def _utf8(data: bytes) -> str:
@@ -262,18 +299,22 @@ def _texts(b: pa.RecordBatch) -> list[str]:
     return [x or "" for x in b.column(b.num_columns - 1).to_pylist()]
 
 
-def _checked_batch(c: Coder, texts: list[str]) -> list[str]:
-    """Ids of the texts as strings; the shortest and the first text are also encoded and decoded whole by the library."""
-    out = [c.encode_text(t) for t in texts]
-    if texts:
-        for t in {texts[0], min(texts, key=len)}:
-            if not c.agrees(t):
-                return [" ".join(map(str, [*c.library.encode(x), c.end])) for x in texts]
+def _coded_batch(c: Coder, texts: list[str]) -> list[tuple[str, str]]:
+    """coded_text() of the texts; the first and the shortest are held against the library."""
+    out = [c.coded_text(t) for t in texts]
+    for i in {0, min(range(len(texts)), key=lambda i: len(texts[i]))} if texts else ():
+        c.hold_text(texts[i], *out[i])
     return out
 
 
 def _rows(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_encoded_text"))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(free_name(docs, "encoded_text")))
+
+
+def _schema(rows: DataFrame, **made: T.DataType) -> T.StructType:
+    """The kept columns and those made, under names that no kept column has."""
+    kept = rows.drop(rows.columns[-1])
+    return T.StructType([*kept.schema.fields, *[T.StructField(free_name(kept, n), t) for n, t in made.items()]])
 
 
 def _broadcast(spark: SparkSession, path: str | None):
@@ -284,20 +325,20 @@ def _broadcast(spark: SparkSession, path: str | None):
 def encode(docs: DataFrame, model_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (default doc_id), ids array<int> with the end id, and decoded, the text that the ids give back.
 
-    Null texts count as empty and have the end id alone. Repeated rows come out repeated, an empty table empty. The model
-    file, of fixed size, is broadcast.
+    Null texts count as empty and have the end id alone. Repeated rows come out repeated, an empty table empty; a name that
+    a kept column has gets underscores in front. The model file, of fixed size, is broadcast.
     """
     keep = keep or ["doc_id"]
     model = _broadcast(docs.sparkSession, model_path)
     rows = _rows(docs, keep)
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    schema = _schema(rows, ids=T.ArrayType(T.IntegerType()), decoded=T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model.value)
         for b in batches:
-            ids = [list(map(int, x.split(" "))) for x in _checked_batch(c, _texts(b))]
-            decoded = [c.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=schema.names)
+            coded = _coded_batch(c, _texts(b))
+            ids = pa.array([list(map(int, x.split(" "))) for x, _ in coded], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, pa.array([x for _, x in coded], pa.string())], names=schema.names)
 
     return rows.mapInArrow(lean(run), schema)
 
@@ -305,24 +346,21 @@ def encode(docs: DataFrame, model_path: str | None = None, keep: list[str] | Non
 def digests(docs: DataFrame, model_path: str | None = None, keep: list[str] | None = None, remembered: int = REMEMBERED, over_tasks: bool = False) -> DataFrame:
     """As encode(), with n_tokens, ids_sha256 and decoded_sha256 in place of ids and text.
 
-    The ids do not leave the worker: their decimal form is hashed as it is joined. Each segment was decoded when it was
-    first met and gave itself back, so the decoded text is that of the segments in a row. A larger remembered trades a
-    worker's memory, some 800 bytes a segment, for merging fewer segments again; so does over_tasks, by which a worker
-    remembers them from one task to the next.
+    Neither ids nor decoded text leave the worker: their digests do. remembered bounds what a worker remembers, in bytes
+    of one generation of four; more of it trades memory for merging fewer segments again; so does over_tasks, by which a
+    worker remembers them from one task to the next.
     """
     keep = keep or ["doc_id"]
     model = _broadcast(docs.sparkSession, model_path)
     rows = _rows(docs, keep)
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = _schema(rows, n_tokens=T.LongType(), ids_sha256=T.StringType(), decoded_sha256=T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model.value, remembered)
         for b in batches:
-            texts = _texts(b)
-            ids = _checked_batch(c, texts)
-            n = [x.count(" ") + 1 for x in ids]
-            of_ids = [hashlib.sha256(x.encode()).hexdigest() for x in ids]
-            of_text = [hashlib.sha256(t.replace(MARK, " ").encode()).hexdigest() for t in texts]
+            coded = _coded_batch(c, _texts(b))
+            n = [x.count(" ") + 1 for x, _ in coded]
+            of_ids, of_text = ([hashlib.sha256(x[k].encode()).hexdigest() for x in coded] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=schema.names)
         if not over_tasks:
             c.words.forget()

@@ -47,7 +47,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(table(spark, sf_dir, "documents"), remembered=300_000, over_tasks=True)
+    return pieces.digests(table(spark, sf_dir, "documents"), remembered=96 << 20, over_tasks=True)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
