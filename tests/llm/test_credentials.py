@@ -85,3 +85,56 @@ def test_an_endpoint_counts_beside_a_strong_secret_alone():
     assert kinds(text) == ["host=db.example.com"]
     assert c.scan_text(text)[1] == [(-1, 0, text.index("host"))]
     assert kinds(f"{SECRET}\nhost=db.example.com") == []
+
+
+def slow_links(text):
+    """Every pair of a secret and a part near it, by looking at all pairs."""
+    base = [(a, b) for _, a, b in slow_base(text)]
+    strong_ids = [(a, b) for k, a, b in slow_base(text) if k == "access"]
+    strong = [(a, b) for k, a, b in slow_base(text) if k != "access"]
+    meets = lambda x, ys: any(x[0] < y[1] and y[0] < x[1] for y in ys)
+    free = lambda pattern: [m.span() for m in pattern.finditer(text) if not meets(m.span(), base)]
+    ids = []
+    for s in sorted(strong_ids + free(c._IDENT)):
+        if not meets(s, ids):
+            ids.append(s)
+    ends, every_end = free(c._ENDPOINT), [m.span() for m in c._ENDPOINT.finditer(text)]
+    weak = [s for s in free(c._SECRET) if c._is_mixed(text[s[0] : s[1]]) and not meets(s, ids + every_end)]
+    blanks = [m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    part = lambda at: sum(b <= at for b in blanks)
+
+    def near(x, s):
+        gap = max(0, x[0] - s[1], s[0] - x[1])
+        return gap <= c.REACH and part(x[0]) == part(s[0]) and not any(x[0] < b < x[1] for b in blanks)
+
+    found = set()
+    for s in strong + weak:
+        mine = [x for x in ids if near(x, s)]
+        if mine or s in strong:
+            found |= {(s, x) for x in mine} | {(s, x) for x in ends if near(x, s)}
+    return found
+
+
+def test_links_equal_brute_force():
+    import random
+
+    rng = random.Random(3)
+    pieces = [ACCESS, SECRET, SECRET[::-1], "password=hunter2hunter2", "0123456789abcdef" * 2, "user=joe_smith1", "client_id=abcd1234", "login: root", "host=db.example.org",
+              "https://a.example.com/x", "region: eu-west-1", "server=10.0.0.1:80", "\n\n", "\n \t\n", "\n", " ", " é ", " word " * 12, " " * 150, " " * 299, ","]
+    seen = 0
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(2, 16)))
+        base = sorted(c.base_spans(text))
+        spans, links = c.linked_spans(text, base)
+        got = {(s, x) for i, s, e in links for x in (i, e) if x >= 0}
+        want = {(s[0], x[0]) for s, x in slow_links(text)}
+        assert got == want, repr(text)
+        marked = {(a, b) for _, a, b in base + spans}
+        assert all(s in marked and x in marked for s, x in slow_links(text))
+        seen += len(want)
+    assert seen > 2000
+
+
+def test_kept_columns_may_clash(docs):
+    rows = docs((1, "x")).selectExpr("doc_id", "text", "1 AS spans", "2 AS links", "3 AS scanned_text")
+    assert c.scan(rows, keep=["spans", "links", "scanned_text"]).columns == ["spans", "links", "scanned_text", "_spans", "_links"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import zip_longest
 
 import pyarrow as pa
@@ -73,21 +73,16 @@ def linked_spans(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tupl
     weak_ids = [m.span() for m in _IDENT.finditer(text)] if any(x in low for x in _IDENT_NEEDS) else []
     if not (strong or strong_ids or weak_ids):
         return [], []
-    taken = sorted((a, b) for _, a, b in base)
+    taken = _union((a, b) for _, a, b in base)
 
     def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        out = []
-        for a, b in spans:
-            i = bisect_left(taken, (a, b))
-            if all(y <= a or x >= b for x, y in taken[max(0, i - 1) : i + 1]):
-                out.append((a, b))
-        return out
+        return [s for s in spans if not _covers(taken, s)]
 
     weak_ids = apart(weak_ids)
     ids = _disjoint(sorted(strong_ids + weak_ids))
     ends = [m.span() for m in _ENDPOINT.finditer(text)] if any(x in low for x in _ENDPOINT_NEEDS) else []
     endpoints = apart(ends)
-    within = sorted(ids + ends)
+    within = _union(ids + ends)
     weak = [s for s in apart([m.span() for m in _SECRET.finditer(text) if _is_mixed(m[0])]) if not _covers(within, s)]
     if not (weak or strong):
         return [], []
@@ -121,7 +116,19 @@ def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order that cover what spans cover and don't overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _covers(spans: list[tuple[int, int]], s: tuple[int, int]) -> bool:
+    """Whether s overlaps one of spans, which are in order and don't overlap."""
     i = bisect_left(spans, s)
     return any(x < s[1] and y > s[0] for x, y in spans[max(0, i - 1) : i + 1])
 
@@ -145,12 +152,13 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (default doc_id), spans (kind, start, end) and links (ident, secret, endpoint) for every row.
 
     Offsets are code points, ends exclusive. Null and empty texts have none; repeated rows come out repeated; an empty
-    table gives an empty one.
+    table gives an empty one. A name that a kept column has gets underscores in front.
     """
     ship(docs.sparkSession)
     keep = keep or ["doc_id"]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(free_name(docs, "scanned_text")))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("spans", _SPANS), T.StructField("links", _LINKS)])
+    kept = rows.drop(rows.columns[-1])
+    schema = T.StructType([*kept.schema.fields, T.StructField(free_name(kept, "spans"), _SPANS), T.StructField(free_name(kept, "links"), _LINKS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,7 +179,11 @@ def of_kinds(spans: Column, *kinds: str) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by its kind in angle brackets; overlapping spans go as one, under the first."""
+    """docs with every span in text replaced by its kind in angle brackets; overlapping spans go as one, under the first.
+
+    Null and empty texts stay as they are, repeated rows come out repeated, an empty table empty. Other columns pass as
+    they are, whatever their names.
+    """
     ship(docs.sparkSession)
     at = docs.columns.index("text")
     schema = docs.schema
