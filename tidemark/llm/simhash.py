@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     groups = cut(clusters(rows, radius))
     named = least.join(groups, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = named.join(low, "root").select("fp", "component_id")
+    # written first, so that both sides of the join are shuffles and a fingerprint of very many rows can be split
+    of = cut(named.join(low, "root").select("fp", "component_id"))
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
