@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash, similar
+from tidemark.llm import gray, prefixes, simhash, similar
 
 from odd_rows import ODD
 
@@ -50,7 +50,8 @@ def test_index_finds_all_pairs_and_forest_joins_them():
     codes = np.unique(np.concatenate([b ^ one(16) ^ one(64) ^ one(64) for b in base]))
     far = np.bitwise_count(codes[:, None] ^ codes[None, :])
     for radius in (0, 1, 2, 5):
-        q, hit = simhash.GrayIndex(codes).search(codes, radius)
+        q, hit, bits = simhash.GrayIndex(codes).search(codes, radius)
+        assert (far[q, hit] == bits).all()
         assert set(zip(q.tolist(), hit.tolist(), strict=True)) == set(zip(*np.where(far <= radius), strict=True))
     links = simhash.spanning_links(codes, 2)
     assert len(links) < len(codes) and all(far[a, b] <= 2 for a, b in links)
@@ -158,10 +159,14 @@ def test_all_pairs_at_the_threshold_are_found(docs):
 
 
 @pytest.mark.parametrize("few", [similar.FEW, 0])
-def test_links_join_all_pairs_however_common_their_shingles(spark, few):
+@pytest.mark.parametrize("searched", [True, False])
+def test_links_join_all_pairs_however_common_their_shingles(spark, few, searched):
     rng = random.Random(9)
     rows = list(enumerate([t + " one line that all of the texts have at their end" for t in on_a_template(rng, 30, 55, 160)] + ["", "a b", "a b c d e f"]))
-    texts = similar.with_sets(spark.createDataFrame(rows, "id long, text string"), "whole", "outline").drop("whole")
+    docs = spark.createDataFrame(rows, "id long, text string")
+    common = prefixes.common_shingles(docs, 5, sample=1, least=3)
+    assert len(common[0]) > 100
+    nodes = similar.with_sets(docs, ["whole", "outline", "code", "prefix"], prefixes.prefix_of(spark.sparkContext.broadcast(common), 0.8))
 
     def exact(pairs):
         sets = {i: shingle_set(t) for i, t in rows}
@@ -169,11 +174,56 @@ def test_links_join_all_pairs_however_common_their_shingles(spark, few):
         return spark.createDataFrame(good, "u long, v long")
 
     for group in (5, 1000):
-        links = simhash.components(similar.similar_links(texts, exact, 5, 0.8, sample=1, least=3, group=group, few=few)).collect()
-        root = {r.node: r.root for r in links}
+        links = similar.fingerprint_links(nodes, exact, 0.8, group=group, few=few) if searched else spark.createDataFrame([], "u long, v long")
+        roots = simhash.components(links).withColumnRenamed("node", "id")
+        links = links.unionByName(prefixes.remaining_links(nodes, roots, common, exact, 0.8, sample=1, group=group, few=few))
+        root = {r.node: r.root for r in simhash.components(links).collect()}
         assert sorted({root.get(i, i) for i, _ in rows}) == slow_kept(rows)
 
 
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.93), (0.85, 0.97), (0.9, 0.99)])
+def test_fingerprints_find_most_pairs(spark, similarity, least):
+    """By fingerprints alone, of pairs at a similarity among unlike texts, about as many as found_by() says."""
+    rng = np.random.default_rng(4)
+    pairs, rows = 600, []
+    for _ in range(pairs):
+        n = int(rng.integers(40, 400))
+        shared = round(2 * similarity / (1 + similarity) * n)
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        rows += [a, np.concatenate((a[:shared], rng.integers(0, 2**64, n - shared, dtype=np.uint64)))]
+    codes = [(i, [len(x), *[0] * similar.PARITIES], similar.code_of(x).tolist()) for i, x in enumerate(rows)]
+    seen = []
+    keep = lambda df: seen.append(df.collect()) or df
+    similar.fingerprint_links(spark.createDataFrame(codes, "id long, outline array<long>, code array<long>"), keep, 0.8)
+    found = sum(v == u + 1 and u % 2 == 0 for u, v in seen[0])
+    assert found >= least * pairs
+    masks = similar.drawn_masks(2 * pairs, 0.8)
+    assert abs(found / pairs - similar.found_by(len(masks), len(masks[0]), similarity)) < 0.03
+
+
+def test_as_many_masks_as_the_chance_needs():
+    for n in (10, 5000, 10**6, 10**9):
+        masks = similar.drawn_masks(n, 0.8)
+        assert similar.found_by(len(masks), len(masks[0]), 0.8) >= similar.RECALL and all(len(set(m)) == len(masks[0]) for m in masks)
+
+
+def test_gray_order_of_wide_codes():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 2**64, (2, 300), dtype=np.uint64)
+    whole = [(int(a) << 64) | int(b) for a, b in codes.T]
+
+    def rank(x):
+        r = 0
+        while x:
+            r, x = r ^ x, x >> 1
+        return r
+
+    assert gray.gray_order(codes).tolist() == sorted(range(300), key=lambda i: rank(whole[i]))
+    q, hit, bits = gray.GrayIndex(codes).search(codes[:, :50], 60)
+    want = {(i, j): (whole[i] ^ whole[j]).bit_count() for i in range(50) for j in range(300)}
+    assert dict(zip(zip(q.tolist(), hit.tolist(), strict=True), bits.tolist(), strict=True)) == {k: v for k, v in want.items() if v <= 60}
+
+
 def test_equal_fingerprints_are_no_proof(docs):
     """A line that is repeated 60 times decides all bits of a fingerprint; the sets still differ."""
     rng = random.Random(10)

@@ -18,14 +18,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, free_name, lean, saved, ship
 from tidemark.llm.graph import components
-from tidemark.llm.similar import asked, needed, shingle_hashes, similar_links, with_sets, without
+from tidemark.llm.gray import QUERIES, GrayIndex
+from tidemark.llm.prefixes import common_shingles, prefix_of, remaining_links
+from tidemark.llm.similar import asked, fingerprint_links, needed, shingle_sets, with_sets, without
 
 BITS = 64
 #: Fingerprints that one search may hold; larger groups are dealt again by their other bits.
 GROUP = 8192
-FAN = 16
-#: Fingerprints that are looked up together.
-QUERIES = 64
 #: Rows of two longs of which a list may be broadcast.
 FEW = 200_000
 
@@ -74,60 +73,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", keep: li
     return source.mapInArrow(lean(run), schema)
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """Where a bit pattern stands in the reflected Gray sequence."""
-    r = x.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        r ^= r >> np.uint64(s)
-    return r
-
-
-class GrayIndex:
-    """Hierarchical index over distinct fingerprints (uint64), sorted by Gray rank.
-
-    levels[0] are the fingerprints. A node of a level holds what its FAN children share: mask, the bits on which all
-    agree, and value, those bits. own is the part of the mask that the parent lacks, so that differences add up.
-    """
-
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        leaf = codes[self.order]
-        full = np.full(len(leaf), np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.masks, self.values = [full], [leaf]
-        ones, either = leaf, leaf
-        while len(ones) > FAN:
-            cuts = np.arange(0, len(ones), FAN)
-            ones, either = np.bitwise_and.reduceat(ones, cuts), np.bitwise_or.reduceat(either, cuts)
-            mask = ~(ones ^ either)
-            self.masks.append(mask)
-            self.values.append(ones & mask)
-        self.own = [m & ~np.repeat(up, FAN)[: len(m)] for m, up in zip(self.masks, self.masks[1:], strict=False)] + [self.masks[-1]]
-
-    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, place in the codes given) of every code within radius of a query."""
-        top = len(self.masks) - 1
-        q = np.repeat(np.arange(len(queries)), len(self.masks[top]))
-        node = np.tile(np.arange(len(self.masks[top])), len(queries))
-        seen = np.zeros(len(q), np.uint8)
-        for level in range(top, -1, -1):
-            if level < top:
-                q, seen = np.repeat(q, FAN), np.repeat(seen, FAN)
-                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                real = node < len(self.masks[level])
-                q, seen, node = q[real], seen[real], node[real]
-            seen = seen + np.bitwise_count((queries[q] ^ self.values[level][node]) & self.own[level][node])
-            near = seen <= radius
-            q, seen, node = q[near], seen[near], node[near]
-        return q, self.order[node]
-
-
 def spanning_links(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links between the places of codes that join what is joined by pairs within radius: fewer than len(codes)."""
     label = np.arange(len(codes))
     links: list[tuple[int, int]] = []
     index = GrayIndex(codes)
     for at in range(0, len(codes), QUERIES):
-        q, hit = index.search(codes[at : at + QUERIES], radius)
+        q, hit, _ = index.search(codes[at : at + QUERIES], radius)
         a, b = q + at, hit
         while len(a := a[far := label[a] != label[b]]):
             b = b[far]
@@ -243,7 +195,7 @@ def _hash_sets(shingle: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = (np.int64, pa.int64()) if whole else (np.int32, pa.int32())
         for b in batches:
-            made = [shingle_hashes(t, shingle) for t in b.column("text").to_pylist()]
+            made = shingle_sets(b.column("text"), shingle)
             sets = pa.array([x.astype(np.uint32).view(np.int32) if not whole else x.view(np.int64) for x in made], pa.list_(kind[1]))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in made], pa.int64()), sets], names=["id", "n", "hashes"])
 
@@ -278,19 +230,28 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """docs without all but one document of each group of near copies; the columns of docs.
 
     Rows with equal sets of shingles, lower-cased words, are copies, by a hash of 128 bits. Others are linked if their whole
-    sets have similarity or more; no such pair is missed: see similar. Of a group stays the row with the least doc_id, null
+    sets have similarity or more. Fingerprints of the sets, in Gray order, find nearly all such links, see similar; pairs that
+    these don't join are found by prefixes of the sets, which lose none. Of a group stays the row with the least doc_id, null
     last, of repeated rows one. Wordless and null texts are copies of each other. An empty table gives an empty one.
     """
-    whole, outline, rid = free_name(docs, "whole"), free_name(docs, "outline"), free_name(docs, "rid")
-    rows = saved(with_sets(docs.withColumn(rid, F.monotonically_increasing_id()), whole, outline, shingle), "hashed")
-    narrow = rows.select(F.col(rid).alias("rid"), F.col(whole).alias("whole"), "doc_id")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
-    first = cut(narrow.groupBy("whole").agg(F.min("rid").alias("id"), F.min(order).alias("best")))
-    texts = without(rows.select(F.col(rid).alias("id"), F.col("text").cast("string").alias("text"), F.col(outline).alias("outline")), narrow.select(F.col("rid").alias("id")).join(first, "id", "left_anti"), FEW)
-    groups = components(similar_links(texts, _alike(texts, shingle, similarity), shingle, similarity, few=FEW)).select(F.col("node").alias("id"), "root")
-    best = first.join(groups, "id", "left").select("best", F.coalesce("root", "id").alias("root"))
+    names = [free_name(docs, x) for x in ("whole", "outline", "code", "prefix")]
+    whole, outline, code, prefix = names
+    rid = free_name(docs, "rid")
+    common = common_shingles(docs.select(F.col("text").cast("string").alias("text")), shingle)
+    cast = docs.sparkSession.sparkContext.broadcast(common)
+    rows = saved(with_sets(docs.withColumn(rid, F.monotonically_increasing_id()), names, prefix_of(cast, similarity), shingle), "hashed")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col(rid).alias("rid"))
+    sets = cut(rows.groupBy(F.col(whole).alias("whole")).agg(F.min(rid).alias("id"), F.min(order).alias("best")).drop("whole"))
+    copies = rows.select(F.col(rid).alias("id")).join(sets, "id", "left_anti")
+    nodes = without(rows.select(F.col(rid).alias("id"), F.col(outline).alias("outline"), F.col(code).alias("code"), F.col(prefix).alias("prefix")), copies, FEW)
+    check = _alike(rows.select(F.col(rid).alias("id"), F.col("text").cast("string").alias("text")), shingle, similarity)
+    links = fingerprint_links(nodes.drop("prefix"), check, similarity, few=FEW)
+    roots = cut(components(links).select(F.col("node").alias("id"), "root"))
+    links = links.unionByName(remaining_links(nodes.drop("code"), roots, common, check, similarity, few=FEW))
+    groups = components(links).select(F.col("node").alias("id"), "root")
+    best = sets.join(groups, "id", "left").select("best", F.coalesce("root", "id").alias("root"))
     kept = best.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
-    gone = narrow.select("rid").join(kept, "rid", "left_anti").select(F.col("rid").alias(rid))
+    gone = rows.select(F.col(rid).alias("rid")).join(kept, "rid", "left_anti").select(F.col("rid").alias(rid))
     return without(rows, gone, FEW).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,9 +1,11 @@
-"""Pairs of texts whose sets of shingles are similar: an exact join by prefixes of the sets.
-
-Sets of Jaccard similarity t or more share one of the first n - ceil(t * n) + 1 of their n shingles in any order that is the
-same for all sets. The order here puts shingles of many texts last, by counts from a sample, and goes by hash among others;
-so texts meet at rare shingles, and no choice of it loses a pair. Texts that meet at a shingle are linked to a neighbour
-first. Then all pairs that the links of the first round don't join are compared, by bounds that no similar pair exceeds.
+"""Links between texts whose sets of shingles are similar, by SimHash fingerprints of these sets in Gray order.
+
+A set's fingerprint has CODE bits. Two sets of Jaccard similarity t differ in each bit with the chance that the angle between
+them gives; so the chance that two of them agree on some of a number of drawn masks is known, and as many masks are drawn
+as find pairs at the threshold with chance RECALL, more similar ones more surely. Texts that agree on a mask make up a
+group; in a group a Gray-order hierarchical index finds each text's nearest fingerprint within a radius that a pair at the
+threshold exceeds once in thousands of times. Pairs so found are compared by whole sets. What fingerprints can't show, some
+pairs near the threshold and all but the nearest, is left to prefixes.py, which loses none.
 """
 
 from __future__ import annotations
@@ -13,56 +15,95 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop_path, free_name, lean, saved_at, ship
-from tidemark.llm.graph import components
+from tidemark.llm import words
+from tidemark.llm.common import cut, free_name, lean, ship
+from tidemark.llm.gray import QUERIES, GrayIndex
 
 #: Rows of a few longs of which a list may be broadcast.
 FEW = 200_000
-#: One text of so many is sampled for common shingles; a shingle that so many sampled texts have is one.
-SAMPLE, COMMON = 16, 8
-#: Texts at a common shingle that are compared in one group, and up to which groups are compared together.
-GROUP, SMALL = 1024, 32
+#: Longs of a fingerprint; of those, how many are compared in a group.
+WORDS, COMPARED = 4, 2
+CODE = 64 * WORDS
+#: The chance to find a pair at the threshold; the chance that the radius loses one.
+RECALL, BEYOND = 0.95, 0.0005
+#: Unlike texts in a group on average; texts of a group that are compared in one task.
+LOAD, GROUP = 512, 4096
 #: Longs of a set's parities: bit h mod 512 is the parity of its hashes h.
 PARITIES = 8
 _EPS = 1e-9
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+_BYTE_AT = (np.arange(8 * WORDS) * 256).astype(np.int64)
 
 
-def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The distinct shingles of the lower-cased words as sorted 64-bit hashes; fewer words than a shingle make up one."""
-    from xxhash import xxh64_intdigest
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Longs (uint64) spread over all bits."""
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * _ADD
+    return x ^ (x >> np.uint64(32))
 
-    words = (text or "").encode().lower().split()
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
 
+def shingle_sets(texts: pa.Array, shingle: int = 5) -> list[np.ndarray]:
+    """The distinct shingles of each text's lower-cased words as sorted 64-bit hashes; fewer words than a shingle make up one."""
+    from xxhash import xxh64_intdigest
 
-def with_sets(docs: DataFrame, whole: str, outline: str, shingle: int = 5, text: str = "text") -> DataFrame:
-    """docs with whole, 16 bytes that are equal where the sets of shingles are (XXH3 over the hashes), and outline array<long>:
-    the size of the set and PARITIES longs of its parities."""
+    flat, bounds = words.split(pc.ascii_lower(texts.cast(pa.large_string())))
+    coded = flat.dictionary_encode()
+    of_word = np.fromiter((xxh64_intdigest(w, 42) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    own = of_word[coded.indices.to_numpy()]
+    rolled = own[: max(0, len(own) - shingle + 1)]
+    for j in range(1, shingle):
+        rolled = _mixed(rolled + _ADD) + own[j : j + len(rolled)]
+    rolled = _mixed(rolled)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= shingle:
+            out.append(np.unique(rolled[a : b - shingle + 1]))
+        else:
+            short = np.uint64(b - a)
+            with np.errstate(over="ignore"):
+                for w in own[a:b]:
+                    short = _mixed(short + _ADD) + w
+            out.append(np.array([short], np.uint64))
+    return out
+
+
+def code_of(found: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of hashes, WORDS longs: bits that are set in over half of the hashes."""
+    wide = np.empty((len(found), WORDS), np.uint64)
+    for k in range(WORDS):
+        wide[:, k] = found if k == 0 else _mixed(found + np.uint64(k * int(_ADD) % 2**64))
+    cells = wide.view(np.uint8).astype(np.int64) + _BYTE_AT
+    counts = np.bincount(cells.ravel(), minlength=256 * 8 * WORDS).reshape(8 * WORDS, 256).astype(np.float64) @ _BYTE_BITS
+    return np.packbits((2 * counts.ravel() > len(found)).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def with_sets(docs: DataFrame, names: list[str], prefix: Callable[[np.ndarray], np.ndarray], shingle: int = 5, text: str = "text") -> DataFrame:
+    """docs with four columns of these names: 16 bytes that are equal where the sets of shingles are (XXH3 over the
+    hashes); the outline, array<long>: the size of the set and PARITIES longs of its parities; its fingerprint, array<long>; and what
+    prefix gives of its hashes, array<long>."""
     ship(docs.sparkSession)
     source = docs.withColumn(free_name(docs, "hashed_text"), F.col(f"`{text}`").cast("string"))
-    schema = docs.withColumn(whole, F.lit(None).cast("binary")).withColumn(outline, F.lit(None).cast("array<long>")).schema
+    schema = docs.withColumns({n: F.lit(None).cast("array<long>" if k else "binary") for k, n in enumerate(names)}).schema
     size = 64 * PARITIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        longs = pa.list_(pa.int64())
         for b in batches:
-            digests, outlines = [], []
-            for t in b.column(b.num_columns - 1):
-                found = shingle_hashes(t.as_py(), shingle)
+            digests, outlines, codes, prefixes = [], [], [], []
+            for found in shingle_sets(b.column(b.num_columns - 1), shingle):
                 digests.append(xxh3_128_digest(found.tobytes()))
                 odd = np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size) & 1
                 outlines.append(np.concatenate(([len(found)], np.packbits(odd.astype(np.uint8)).view(np.int64))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(digests, pa.binary()), pa.array(outlines, pa.list_(pa.int64()))], names=schema.names)
+                codes.append(code_of(found))
+                prefixes.append(prefix(found).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(digests, pa.binary()), *(pa.array(x, longs) for x in (outlines, codes, prefixes))], names=schema.names)
 
     return source.mapInArrow(lean(run), schema)
 
@@ -72,53 +113,50 @@ def needed(n: np.ndarray | int, m: np.ndarray | int, similarity: float) -> np.nd
     return similarity / (1 + similarity) * (n + m) - _EPS
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Longs (uint64) in another order."""
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    return (x ^ (x >> np.uint64(29))) * _MIX
+def _differing(bits: int, similarity: float) -> np.ndarray:
+    """The chance of each number of differing bits between fingerprints of sets at a similarity."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    log = [math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) for d in range(bits + 1)]
+    return np.array([math.exp(x + d * math.log(p) + (bits - d) * math.log1p(-p)) if p else float(d == 0) for d, x in enumerate(log)])
 
 
-def _hashed(shingle: int) -> Callable:
-    """Rows (text) come in; their distinct shingles (key) go out."""
+def found_by(masks: int, width: int, similarity: float) -> float:
+    """The chance that fingerprints of sets at a similarity agree on one of masks masks of width bits."""
+    d, agree = np.arange(CODE + 1), np.ones(CODE + 1)
+    for i in range(width):
+        agree *= np.maximum(CODE - d - i, 0) / (CODE - i)
+    return float(_differing(CODE, similarity) @ (1 - (1 - agree) ** masks))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                found = np.concatenate([shingle_hashes(t, shingle) for t in b.column("text")[at : at + 512].to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["key"])
 
-    return run
+def drawn_masks(n: int, similarity: float) -> list[list[int]]:
+    """The bits of each mask for n texts: so many bits that LOAD unlike texts agree, so many masks that RECALL is met."""
+    width = max(0, round(math.log2(max(n, 1) / LOAD)))
+    high = 1
+    while found_by(high, width, similarity) < RECALL:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if found_by(mid, width, similarity) >= RECALL else (mid, high)
+    rng = np.random.default_rng(1)
+    return [sorted(rng.choice(CODE, width, replace=False).tolist()) for _ in range(high)]
 
 
-def _prefixes(shingle: int, similarity: float, common) -> Callable:
-    """Rows (id, text) come in; the prefix of each set goes out: (key, id, n, place, part), part -1 where key isn't common."""
+def radius_of(similarity: float) -> int:
+    """The number of differing bits, of those compared, that sets at a similarity exceed with chance BEYOND at most."""
+    return int(np.searchsorted(np.cumsum(_differing(64 * COMPARED, similarity)), 1 - BEYOND))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, parts = common.value
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                out = []
-                for i, t in zip(b.column("id")[at : at + 512].to_pylist(), b.column("text")[at : at + 512].to_pylist(), strict=True):
-                    found = shingle_hashes(t, shingle)
-                    n = len(found)
-                    take = n - math.ceil(similarity * n - _EPS) + 1
-                    part = np.full(take, -1)
-                    if len(keys):
-                        where = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                        hot = keys[where] == found
-                        if hot.any():
-                            order = np.argsort(np.where(hot, counts[where], 0), kind="stable")[:take]
-                            found, hot, where = found[order], hot[order], where[order]
-                            own = _mixed((found & np.uint64(3)) * _MIX ^ np.uint64(i)) >> np.uint64(1)
-                            part = np.where(hot, (own % parts[where].astype(np.uint64)).astype(np.int64), -1)
-                    out.append((found[:take].view(np.int64), np.full(take, i), np.full(take, n), np.arange(take), part))
-                key, ids, n, place, part = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(part.astype(np.int32))], names=["key", "id", "n", "place", "part"])
 
-    return run
+def _keys(masks: list[list[int]]) -> Column:
+    """An array of keys, one for each mask: a hash of its number and of the bits that it selects."""
+    out = []
+    for t, bits in enumerate(masks):
+        longs = [sum(1 << (b % 64) for b in bits if b // 64 == w) for w in range(WORDS)]
+        out.append(F.xxhash64(F.lit(t), *[F.col("code")[w].bitwiseAND(F.lit(x - (1 << 64) if x >> 63 else x).cast("long")) for w, x in enumerate(longs) if x]))
+    return F.array(*out)
 
 
-def _grouped(columns: list[str], of: int, each: Callable[[list[np.ndarray], np.ndarray, np.ndarray], pa.RecordBatch]) -> Callable:
+def grouped(columns: list[str], of: int, each: Callable[[list[np.ndarray], np.ndarray, np.ndarray], pa.RecordBatch]) -> Callable:
     """Rows sorted by the first of columns come in; each(columns, starts, sizes) is asked with whole groups of them."""
 
     def ask(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -129,7 +167,7 @@ def _grouped(columns: list[str], of: int, each: Callable[[list[np.ndarray], np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            got = [b.column(c).to_numpy() for c in columns]
+            got = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
             held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
             if not len(held[0]):
                 continue
@@ -144,125 +182,67 @@ def _grouped(columns: list[str], of: int, each: Callable[[list[np.ndarray], np.n
     return run
 
 
-def _may(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of n and m may be similar whose first shared shingle stands at p and q."""
-    return 1 + np.minimum(n - p - 1, m - q - 1) >= needed(n, m, similarity)
-
-
-def _meeting(similarity: float) -> Callable:
-    """Rows (key, part, id, n, place) sorted so come in; those that meet others go out, each with the one before or -1.
-
-    The one before, by id, is named if they may be similar.
-    """
-
-    def each(rows: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-        key, part, ids, n, place = rows
-        group = np.repeat(np.arange(len(starts)), sizes)
-        keep = (np.repeat(sizes, sizes) > 1) | (part >= 0)
-        before = np.full(len(ids), -1)
-        ok = (group[1:] == group[:-1]) & _may(n[1:], n[:-1], place[1:], place[:-1], similarity)
-        before[1:][ok] = ids[:-1][ok]
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, ids, n, place, before)], names=["key", "id", "n", "place", "x"])
-
-    return _grouped(["key", "part", "id", "n", "place"], 2, each)
-
-
-def _apart(similarity: float) -> Callable:
-    """Rows sorted by key, pair come in; the pairs (u, v) that aren't joined yet and may be similar go out.
-
-    A group that was cut up has the rows of two blocks, which are compared with each other, or of one.
-    """
-    names = ["key", "pair", "id", "n", "place", "root", "block", *[f"p{k}" for k in range(PARITIES)]]
+def _nearest(radius: int) -> Callable:
+    """Rows (key, part, id, codes) sorted by key, part come in; (u, v) go out, each row with the nearest one of its part, the
+    least id of several, if any is within the radius."""
+    names = ["key", "part", "id", *[f"c{k}" for k in range(COMPARED)]]
 
     def each(rows: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-        ids, n, place, root, block = rows[2:7]
-        bits = np.array(rows[7:]).view(np.uint64)
-        group = np.repeat(np.arange(len(starts)), sizes)
-        two = np.repeat(np.maximum.reduceat(block, starts) != np.minimum.reduceat(block, starts), sizes)
+        ids, codes = rows[2], np.array(rows[3:]).view(np.uint64)
         found = [np.zeros((2, 0), np.int64)]
-
-        def compare(a: np.ndarray, b: np.ndarray) -> None:
-            ok = (root[a] != root[b]) & (~two[a] | (block[a] != block[b])) & _may(n[a], n[b], place[a], place[b], similarity)
-            a, b = a[ok], b[ok]
-            most = n[a] + n[b] - 2 * needed(n[a], n[b], similarity)
-            ok = np.bitwise_count(bits[:, a] ^ bits[:, b]).sum(axis=0, dtype=np.int64) <= most
-            found.append(np.array([ids[a[ok]], ids[b[ok]]]))
-
-        small = np.repeat(sizes <= SMALL, sizes)
-        for shift in range(1, min(SMALL, int(sizes.max()))):
-            a = np.flatnonzero((group[shift:] == group[:-shift]) & small[:-shift])
-            compare(a, a + shift)
-        for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            for i in range(at, at + size - 1):
-                compare(np.full(at + size - 1 - i, i), np.arange(i + 1, at + size))
+        for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            index = GrayIndex(codes[:, at : at + size])
+            for first in range(at, at + size, QUERIES):
+                q, j, bits = index.search(codes[:, first : min(first + QUERIES, at + size)], radius)
+                q, j = q + first, j + at
+                other = q != j
+                q, j, bits = q[other], j[other], bits[other]
+                order = np.lexsort((ids[j], bits, q))
+                q, j = q[order], j[order]
+                new = np.flatnonzero(np.diff(q, prepend=-1))
+                found.append(np.array([ids[q[new]], ids[j[new]]]))
         both = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
 
-    return _grouped(names, 2, each)
+    return grouped(names, 2, each)
 
 
-def _outlines_fit(pairs: DataFrame, outlines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose parities differ no more than those of similar sets can."""
+def outlines_fit(pairs: DataFrame, outlines: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sizes and parities differ no more than those of similar sets can."""
     met = pairs.join(outlines.select(F.col("id").alias("u"), F.col("outline").alias("a")), "u").join(outlines.select(F.col("id").alias("v"), F.col("outline").alias("b")), "v")
     differ = sum((F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(1, PARITIES + 1)), F.lit(0))
     n, m = F.col("a")[0], F.col("b")[0]
-    return met.filter(differ <= n + m - 2 * needed(n, m, similarity)).select("u", "v")
+    return met.filter((F.least(n, m) >= needed(n, m, similarity)) & (differ <= n + m - 2 * needed(n, m, similarity))).select("u", "v")
+
+
+def few_rows(df: DataFrame, few: int) -> DataFrame:
+    """df, computed now; broadcast in joins if it has at most few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= few else df
 
 
 def asked(texts: DataFrame, ids: DataFrame, few: int = FEW) -> DataFrame:
     """The rows of texts whose id is in the distinct ids: up to few go to every task, more are joined by shuffling."""
-    ids = cut(ids.select("id"))
-    return texts.join(F.broadcast(ids) if ids.count() <= few else ids, "id", "left_semi")
+    return texts.join(few_rows(ids.select("id"), few), "id", "left_semi")
 
 
 def without(rows: DataFrame, ids: DataFrame, few: int = FEW) -> DataFrame:
     """rows but those whose id, the one column of ids, is in ids; lists go as in asked()."""
-    ids = cut(ids)
-    return rows.join(F.broadcast(ids) if ids.count() <= few else ids, ids.columns[0], "left_anti")
-
-
-def common_shingles(texts: DataFrame, shingle: int, sample: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to FEW shingles that at least least of the sampled texts have: sorted hashes, and in how many."""
-    some = texts.filter(F.expr(f"pmod(xxhash64(id), {sample}) = 0")).select("text")
-    counts = some.mapInArrow(lean(_hashed(shingle)), "key long").groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
-    found = counts.orderBy(F.desc("c"), "key").limit(FEW).toArrow()
-    keys, c = found.column("key").to_numpy().view(np.uint64), found.column("c").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], c[order]
+    return rows.join(few_rows(ids, few), ids.columns[0], "left_anti")
 
 
-def similar_links(texts: DataFrame, check: Callable[[DataFrame], DataFrame], shingle: int = 5, similarity: float = 0.8, sample: int = SAMPLE, least: int = COMMON, group: int = GROUP, few: int = FEW) -> DataFrame:
-    """Links (u, v) over the ids of texts (id long from 0 up, text, outline) that join all that pairs of similarity or more join.
+def fingerprint_links(nodes: DataFrame, check: Callable[[DataFrame], DataFrame], similarity: float = 0.8, group: int = GROUP, few: int = FEW) -> DataFrame:
+    """Links (u, v) between the ids of nodes (id long from 0 up, outline, code): of each text and its nearest one in each of its
+    groups, the pairs that are similar by check, which is given distinct pairs that sizes and parities don't rule out.
 
-    check gives those of distinct pairs (u, v) that are similar; no pair is left out but by bounds that similar ones
-    can't exceed, or because links join it already. Common shingles' texts are dealt to groups by chance in the first round;
-    in the second, blocks of about group texts are compared with each other and themselves, each pair of blocks in a task.
+    Groups of more than twice group texts are dealt to parts by chance.
     """
-    spark = texts.sparkSession
-    ship(spark)
-    keys, counts = common_shingles(texts, shingle, sample, least)
-    parts = -(-counts * sample // group)
-    common = spark.sparkContext.broadcast((keys, counts, parts))
-    rows = texts.select("id", "text").mapInArrow(lean(_prefixes(shingle, similarity, common)), "key long, id long, n int, place int, part int")
-    dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").select("key", "part", "id", "n", "place")
-    met, path = saved_at(dealt.mapInArrow(lean(_meeting(similarity)), "key long, id long, n int, place int, x long"), "met")
-    outlines = texts.select("id", "outline")
-
-    def pairs(found: DataFrame) -> DataFrame:
-        return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-    near = met.select(F.col("id").alias("u"), F.col("x").alias("v")).filter("v >= 0")
-    first = cut(check(cut(_outlines_fit(pairs(near), outlines, similarity))))
-    roots = cut(components(first).select(F.col("node").alias("id"), "root"))
-    side = F.broadcast(roots) if roots.count() <= few else roots
-    rooted = met.select("key", "id", "n", "place").join(side, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = cut(rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key"))
-    left = cut(rooted.join(F.broadcast(open_) if open_.count() <= few else open_, "key", "left_semi"))
-    drop_path(spark, path)
-    hot = spark.createDataFrame(pa.table({"key": keys.view(np.int64)[parts > 1], "parts": parts[parts > 1]})) if (parts > 1).any() else spark.createDataFrame([], "key long, parts long")
-    blocked = left.join(F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("block", F.expr("pmod(xxhash64(id), parts)"))
-    spread = blocked.select("*", F.explode(F.expr("sequence(0L, parts - 1)")).alias("o")).withColumn("pair", F.expr("least(block, o) * parts + greatest(block, o)"))
-    whole = spread.join(outlines, "id").select("key", "pair", "id", "n", "place", "root", "block", *[F.col("outline")[1 + k].alias(f"p{k}") for k in range(PARITIES)])
-    sorted_ = whole.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    second = check(cut(pairs(sorted_.mapInArrow(lean(_apart(similarity)), "u long, v long"))))
-    return first.unionByName(second)
+    ship(nodes.sparkSession)
+    compared = [f"c{k}" for k in range(COMPARED)]
+    keyed = nodes.select("id", *[F.col("code")[k].alias(c) for k, c in enumerate(compared)], F.explode(_keys(drawn_masks(nodes.count(), similarity))).alias("key"))
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * group).select("key", F.expr(f"n div {group} + 1").alias("parts"))
+    part = F.coalesce(F.expr("pmod(xxhash64(id), parts)"), F.lit(0).cast("long"))
+    dealt = keyed.join(few_rows(hot, few), "key", "left").select("key", part.alias("part"), "id", *compared)
+    sorted_ = dealt.repartition("key", "part").sortWithinPartitions("key", "part")
+    near = cut(sorted_.mapInArrow(lean(_nearest(radius_of(similarity))), "u long, v long").distinct())
+    return cut(check(cut(outlines_fit(near, nodes.select("id", "outline"), similarity))))
