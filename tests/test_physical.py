@@ -48,3 +48,32 @@ def test_upsert_does_not_shuffle_the_target_for_a_small_batch(spark):
     first = shown.split("Union")[1].split("LeftAnti")[0]
     assert "BroadcastHashJoin" in first and "SortMergeJoin" not in first and "FullOuter" not in shown
     spark.sql("DROP TABLE physical_target")
+
+
+def test_cumulative_metrics_read_their_windows_only(spark):
+    """Thirty days before the first day asked for, and nothing after the last; no scan without a bound."""
+    shown = plan(spark, "P04_cumulative")
+    scans = shown.count("FileScan parquet")
+    assert scans >= 2 and shown.count("GreaterThanOrEqual(o_orderdate,1997-01-31") == scans
+
+
+def test_cumulative_metrics_with_both_dates_run_nothing_while_planned(spark):
+    from tidemark.plans.semantic import MetricQuery
+    from tidemark.queries.base import Tables
+    from tidemark.queries.metrics import registry
+
+    def jobs(end):
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        registry(Tables(spark, SF)).query(MetricQuery(["customers_30d"], start_date="1997-03-01", end_date=end, granularity="day"))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+
+    assert jobs("1997-04-30") < jobs(None)
+
+
+@pytest.mark.parametrize("name", ["P09_trend_stats", "A15_tiering"])
+def test_no_window_over_all_rows(spark, name):
+    assert "Window" not in plan(spark, name)
+
+
+def test_tiers_come_from_one_scan(spark):
+    assert plan(spark, "A15_tiering").count("FileScan parquet") == 1

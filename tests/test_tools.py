@@ -46,6 +46,14 @@ def test_exports(spark):
 
 
 def test_labels(spark):
-    tools.labelled(spark, model="x")
-    assert spark.sparkContext.getLocalProperty("tidemark.label.model") == "x"
-    spark.sparkContext.setJobDescription(None)
+    with tools.labelled(spark, model="x"):
+        assert spark.sparkContext.getLocalProperty("tidemark.label.model") == "x"
+        assert sorted(map(tuple, tools.labels_of(spark).collect())) == [("comment", "comment", "model=x"), ("job", "model", "x")]
+    assert spark.sparkContext.getLocalProperty("tidemark.label.model") is None and tools.labels_of(spark).count() == 0
+
+
+def test_search_order():
+    packages = {"a": {"other": 1}, "b": {"default": 2}, "c": {"spark": 3}}
+    assert tools.dispatch_in(packages, ["a", "b", "c"]) == 2 and tools.dispatch_in(packages, ["c", "b"]) == 3 and tools.dispatch_in(packages, ["a"], "other") == 1
+    with pytest.raises(KeyError):
+        tools.dispatch_in(packages, ["a"])

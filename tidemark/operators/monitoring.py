@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import ladder
+from tidemark.functions.columns import bucket, ladder
 from tidemark.operators.relational import moving
 
 
@@ -65,4 +65,4 @@ def trend(now: Column, before: Column, tolerance: float = 0.05) -> Column:
 
 def sample_percent(df: DataFrame, key: str, percent: int) -> DataFrame:
     """The rows whose key falls into so many of 100 buckets; the same on every run."""
-    return df if percent >= 100 else df.filter(F.pmod(F.xxhash64(key), F.lit(100)) < percent)
+    return df if percent >= 100 else df.filter(bucket(key, 100) < percent)

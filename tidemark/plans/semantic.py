@@ -173,10 +173,7 @@ class Registry:
         df = self._base(model, list(dict.fromkeys([*dimensions, *extra])), m.time or model.time)
         for f in filters:
             df = df.filter(re.sub(r"\{\{\s*Dimension\('(?:\w+__)?(\w+)'\)\s*\}\}", r"_d_\1", f))
-        if start:
-            df = df.filter(F.col("metric_time") >= F.lit(start).cast("date"))
-        if end:
-            df = df.filter(F.col("metric_time") <= F.lit(end).cast("date"))
+        df = _between(df, start, end)
         keys = [F.trunc("metric_time", grain).alias("metric_time") if grain != "day" else F.col("metric_time")] if grain else []
         return df.groupBy(*keys, *[F.col(f"_d_{d}").alias(d) for d in dimensions]).agg(_aggregate(m).alias("value"))
 
@@ -195,14 +192,18 @@ class Registry:
         return self._derived(m, q, keys)
 
     def _cumulative(self, m: Metric, q: MetricQuery, filters: Sequence[str]) -> DataFrame:
-        """A value for each day of the query, whatever the grain: the measure over the window that ends with the day."""
+        """A value for each day of the query, whatever the grain: the measure over the window that ends with the day.
+
+        Only rows that a window of the query holds are read. The days are those from start_date to end_date; where one isn't
+        given, from the first or to the last day of the data. With dimensions, each of their values gets all of these days.
+        """
         model, x = self.measures[m.measure]
         first = None
         if q.start_date and m.window_days is not None:
             first = str(date.fromisoformat(q.start_date) - timedelta(days=m.window_days - 1))
         if x.agg in ADDITIVE:
             daily = self._measured(m.measure, q.dimensions, "day", filters, first, q.end_date)
-            days = self._days(daily, q)
+            days = self._days(daily, q, first)
             dense = days.crossJoin(daily.select(*q.dimensions).distinct()) if q.dimensions else days
             met = _left(dense, daily, ["metric_time", *q.dimensions])
             w = W.partitionBy(*q.dimensions).orderBy(F.datediff("metric_time", F.lit("1970-01-01").cast("date")))
@@ -213,6 +214,7 @@ class Registry:
             df = self._base(model, list(dict.fromkeys([*q.dimensions, *extra])), x.time or model.time)
             for f in filters:
                 df = df.filter(re.sub(r"\{\{\s*Dimension\('(?:\w+__)?(\w+)'\)\s*\}\}", r"_d_\1", f))
+            df = _between(df, first, q.end_date)
             # a value counts from a day it is seen until its window ends or it is seen again: changes of the count by day,
             # added up, so rows don't multiply with the width of the window
             seen = df.select("metric_time", *[F.col(f"_d_{d}").alias(d) for d in q.dimensions], F.expr(x.expr).alias("_v")).filter("_v is not null").distinct()
@@ -220,7 +222,7 @@ class Registry:
             leaves = again if m.window_days is None else F.least(again, F.date_add("metric_time", m.window_days))
             moves = seen.withColumn("_until", leaves).select(*q.dimensions, F.explode(F.array(F.struct(F.col("metric_time").alias("d"), F.lit(1).alias("n")), F.struct(F.col("_until").alias("d"), F.lit(-1).alias("n")))).alias("_m"))
             daily = moves.groupBy(F.col("_m.d").alias("metric_time"), *q.dimensions).agg(F.sum("_m.n").alias("value")).filter("metric_time is not null")
-            days = self._days(seen, q)
+            days = self._days(seen, q, first)
             dense = days.crossJoin(seen.select(*q.dimensions).distinct()) if q.dimensions else days
             met = _left(dense, daily, ["metric_time", *q.dimensions])
             w = W.partitionBy(*q.dimensions).orderBy("metric_time").rowsBetween(W.unboundedPreceding, 0)
@@ -229,9 +231,12 @@ class Registry:
             out = out.filter(F.col("metric_time") >= F.lit(q.start_date).cast("date"))
         return out
 
-    def _days(self, df: DataFrame, q: MetricQuery) -> DataFrame:
-        low, high = df.agg(F.min("metric_time"), F.max("metric_time")).first()
-        low, high = (str(low) if low else "1970-01-01"), (q.end_date or (str(high) if high else "1970-01-01"))
+    def _days(self, df: DataFrame, q: MetricQuery, first: str | None) -> DataFrame:
+        """The days that windows need: from first, or where that is open from the first of the data."""
+        low, high = first, q.end_date
+        if not (low and high):
+            least, most = df.agg(F.min("metric_time"), F.max("metric_time")).first()
+            low, high = low or str(least or "1970-01-01"), high or str(most or "1970-01-01")
         return date_spine(df.sparkSession, low, high, "day", "metric_time", include_end=True)
 
     def _derived(self, m: Metric, q: MetricQuery, keys: Sequence[str]) -> DataFrame:
@@ -287,6 +292,13 @@ def _outer(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.alias("a").join(b.alias("b"), on, "full_outer").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], *[f"a.{c}" for c in rest[0]], *[f"b.{c}" for c in rest[1]])
 
 
+def _between(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Rows whose metric_time is within the dates given; a bound on the cast of a column still reaches the scan."""
+    if start:
+        df = df.filter(F.col("metric_time") >= F.lit(start).cast("date"))
+    return df.filter(F.col("metric_time") <= F.lit(end).cast("date")) if end else df
+
+
 def _left(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     on = F.lit(True)
     for k in keys:
@@ -295,10 +307,13 @@ def _left(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def trend_stats(df: DataFrame, value: str, order: str) -> DataFrame:
-    """One row: mean, population deviation, variation, direction of the last seven against the first seven, volatility."""
+    """One row: mean, population deviation, variation, direction of the last seven against the first seven, volatility.
+
+    The seven at either end are a top-k, so no task sees all rows.
+    """
     n = df.select(value, order)
-    ends = n.select("*", F.row_number().over(W.orderBy(order)).alias("_up"), F.row_number().over(W.orderBy(F.col(order).desc())).alias("_down"))
-    made = ends.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.avg(F.when(F.col("_up") <= 7, F.col(value))).alias("first_avg"), F.avg(F.when(F.col("_down") <= 7, F.col(value))).alias("last_avg"))
+    end = lambda key, name: F.broadcast(n.orderBy(key).limit(7).agg(F.avg(value).alias(name)))
+    made = n.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).crossJoin(end(F.col(order), "first_avg")).crossJoin(end(F.col(order).desc(), "last_avg"))
     cv = F.try_divide("std", "mean")
     direction = F.when(F.col("last_avg") > F.col("first_avg"), "up").when(F.col("last_avg") < F.col("first_avg"), "down").otherwise("flat")
     return made.withColumn("cv", cv).withColumn("direction", direction).withColumn("volatility", F.when(cv > 0.3, "high").when(cv > 0.1, "medium").otherwise("low"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor, wait
 from concurrent.futures import TimeoutError as FutureTimeout
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from graphlib import TopologicalSorter
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans.project import Context, RunResult
 from tidemark.plans.semantic import Registry, SemanticModel
+from tidemark.sources.registry import values
 from tidemark.sources.storage import Store
 
 
@@ -60,6 +63,15 @@ def dispatch(implementations: Mapping[str, Callable], dialect: str = "spark") ->
     return found
 
 
+def dispatch_in(packages: Mapping[str, Mapping[str, Callable]], order: Sequence[str], dialect: str = "spark") -> Callable:
+    """The implementation of the first package in the search order that has one for a dialect or a default one."""
+    for name in order:
+        found = packages.get(name, {})
+        if dialect in found or "default" in found:
+            return dispatch(found, dialect)
+    raise KeyError(f"no implementation for {dialect} in {', '.join(order)}")
+
+
 def maintain(spark: SparkSession, table: str, wanted: Sequence[str] = ("statistics",)) -> list[str]:
     """Statistics for a catalog table; what Parquet has no counterpart for, such as indexes or vacuuming, only warns."""
     done = []
@@ -72,12 +84,52 @@ def maintain(spark: SparkSession, table: str, wanted: Sequence[str] = ("statisti
     return done
 
 
-def labelled(spark: SparkSession, **labels: str) -> None:
-    """Labels of the jobs that this thread starts, as the job description and local properties."""
+def statistics(spark: SparkSession, table: str) -> DataFrame:
+    """(column_name, n_rows, n_null, low, high) for each analyzed column of a catalog table, as its statistics have them."""
+    shown = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    n_rows = int(re.search(r"(\d+) rows", shown["Statistics"])[1])
+    rows = []
+    for c in spark.table(table).columns:
+        found = {r.info_name: r.info_value for r in spark.sql(f"DESCRIBE EXTENDED {table} `{c}`").collect()}
+        rows.append((c, n_rows, int(found["num_nulls"]), found["min"], found["max"]))
+    return values(spark, rows, "column_name string, n_rows long, n_null long, low string, high string")
+
+
+_LABEL = "tidemark.label."
+
+
+@contextmanager
+def labelled(spark: SparkSession, **labels: str) -> Iterator[None]:
+    """Labels of the jobs that this thread starts within, as the job description and local properties."""
     sc = spark.sparkContext
     sc.setJobDescription(", ".join(f"{k}={v}" for k, v in sorted(labels.items())) or None)
+    sc.setLocalProperty(f"{_LABEL}names", ",".join(sorted(labels)))
     for k, v in labels.items():
-        sc.setLocalProperty(f"tidemark.label.{k}", v)
+        sc.setLocalProperty(f"{_LABEL}{k}", v)
+    try:
+        yield
+    finally:
+        sc.setJobDescription(None)
+        for k in (*labels, "names"):
+            sc.setLocalProperty(f"{_LABEL}{k}", None)
+
+
+def label_table(spark: SparkSession, table: str, **labels: str) -> None:
+    """Labels of a catalog table, as properties."""
+    pairs = ", ".join(f"'{_LABEL}{k}' = '{v}'" for k, v in sorted(labels.items()))
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({pairs})")
+
+
+def labels_of(spark: SparkSession, table: str | None = None) -> DataFrame:
+    """(kind, label, value): labels that this thread's jobs carry now, their comment, and those of a catalog table."""
+    sc = spark.sparkContext
+    names = (sc.getLocalProperty(f"{_LABEL}names") or "").split(",")
+    rows = [("job", k, sc.getLocalProperty(f"{_LABEL}{k}")) for k in names if k]
+    if comment := sc.getLocalProperty("spark.job.description"):
+        rows.append(("comment", "comment", comment))
+    if table:
+        rows += [("table", r.key.removeprefix(_LABEL), r.value) for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect() if r.key.startswith(_LABEL)]
+    return values(spark, rows, "kind string, label string, value string")
 
 
 @dataclass

@@ -150,9 +150,9 @@ def _(t):
     return t.orders.select("o_orderkey", C.surrogate_key("o_orderkey", "o_orderstatus").alias("surrogate_key"), C.content_hash("o_custkey", "o_orderpriority", F.lit(None).cast("string")).alias("content_hash"))
 
 
-@query("L12_fingerprint")
+@query("L12_fingerprint", "SELECT o_orderkey, CAST('0x' || substr(md5(o_orderkey || '|' || o_custkey), 1, 15) AS BIGINT) AS fingerprint, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) % 10 AS bucket FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", F.xxhash64("o_orderkey", "o_custkey").alias("fingerprint"), C.bucket("o_orderkey", 10).alias("bucket"))
+    return t.orders.select("o_orderkey", C.fingerprint("o_orderkey", "o_custkey").alias("fingerprint"), C.bucket("o_orderkey", 10).alias("bucket"))
 
 
 @query("L13_date_parts", """SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, quarter(ts) AS q, weekofyear(ts) AS w, dayofweek(ts) AS dow, dayofyear(ts) AS doy, hour(ts) AS h, dayofweek(ts) IN (0, 6) AS weekend FROM events""")
@@ -226,7 +226,7 @@ def _(t):
     return t.orders.select("o_orderkey", C.to_boolean(F.when(k == 0, " Yes").when(k == 1, "0").when(k == 2, "TRUE").otherwise("maybe")).alias("parsed"))
 
 
-@query("L25_validators", """SELECT c_custkey, CASE WHEN email IS NULL THEN 'missing' WHEN email NOT LIKE '%@%' THEN 'invalid_format' WHEN email LIKE '%@%@%' THEN 'multiple_at' WHEN NOT regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$') THEN 'invalid_format' ELSE 'valid' END AS email_status,
+@query("L25_validators", """SELECT c_custkey, CASE WHEN email IS NULL THEN 'missing' WHEN email NOT LIKE '%@%' THEN 'invalid_format' WHEN email LIKE '%@%@%' THEN 'multiple_at' WHEN NOT regexp_matches(email, '""" + C.EMAIL + """') THEN 'invalid_format' ELSE 'valid' END AS email_status,
   CASE WHEN email IS NULL THEN 'has_email' WHEN NOT c_acctbal > 0 THEN 'positive_balance' ELSE 'valid' END AS record_status FROM emails""", "emails")
 def _(t):
     return t.emails.select("c_custkey", C.email_status("email").alias("email_status"), C.validated([("has_email", F.col("email").isNotNull()), ("positive_balance", C.is_positive("c_acctbal"))]).alias("record_status"))

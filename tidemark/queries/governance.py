@@ -54,7 +54,7 @@ def _(t):
     return values(t.spark, [(pr_environment("feature/new-metric", 12), schema_name("analytics", "marts", "dev"), schema_name("analytics", "marts", "prod"), ENVIRONMENTS["prod"].threads)], "name string, dev_schema string, prod_schema string, prod_threads long")
 
 
-@query("Q18_environment_sample")
+@query("Q18_environment_sample", f"SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) % 100 < {ENVIRONMENTS['ci'].sample_percent}")
 def _(t):
     return M.sample_percent(t.orders, "o_orderkey", ENVIRONMENTS["ci"].sample_percent).select("o_orderkey")
 

@@ -50,7 +50,7 @@ def _(t):
     return K.not_null_proportion(t.emails, "email", 0.99)
 
 
-@query("O09_email_format", "SELECT c_custkey FROM emails WHERE email IS NOT NULL AND NOT regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$')", "emails")
+@query("O09_email_format", f"SELECT c_custkey FROM emails WHERE email IS NOT NULL AND NOT regexp_matches(email, '{C.EMAIL}')", "emails")
 def _(t):
     return K.email_format(t.emails, "email").select("c_custkey")
 
@@ -68,9 +68,9 @@ def _(t):
     return t.orders.filter("o_orderdate > timestamp_ntz'2001-07-01'").select("o_orderkey")
 
 
-@query("O10c_blocked_domains", "SELECT c_custkey, email FROM emails WHERE lower(split_part(email, '@', 2)) IN ('tempmail.com', '10minutemail.com', 'guerrillamail.com')", "emails")
+@query("O10c_blocked_domains", f"SELECT c_custkey, email FROM emails WHERE lower(split_part(email, '@', 2)) IN {C.BLOCKED_DOMAINS}", "emails")
 def _(t):
-    return t.emails.filter(C.email_domain("email").isin("tempmail.com", "10minutemail.com", "guerrillamail.com")).select("c_custkey", "email")
+    return t.emails.filter(C.email_domain("email").isin(*C.BLOCKED_DOMAINS)).select("c_custkey", "email")
 
 
 @query("O10d_inactive_orders", "SELECT o_orderkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0 OR c_custkey IS NULL")

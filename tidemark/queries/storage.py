@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import incremental as I
 from tidemark.operators import relational as R
 from tidemark.plans.project import Context, Model, Project, choose_materialization, log_run, materialize
+from tidemark.plans.tools import dispatch, dispatch_in, label_table, labelled, labels_of, maintain, statistics
 from tidemark.queries.base import query
 from tidemark.sources.registry import date_spine, values
 
@@ -63,9 +65,9 @@ def _(t):
     return F.broadcast(seed(t.spark, path, "code string, name string")).join(t.region, F.col("name") == F.col("r_name")).select("code", "name", "r_regionkey")
 
 
-@query("A05_inline_values", "SELECT c_custkey FROM emails WHERE split_part(email, '@', 2) IN (VALUES ('tempmail.com'), ('10minutemail.com'), ('guerrillamail.com'))", "emails")
+@query("A05_inline_values", f"SELECT c_custkey FROM emails WHERE split_part(email, '@', 2) IN (VALUES {', '.join(f"('{d}')" for d in C.BLOCKED_DOMAINS)})", "emails")
 def _(t):
-    domains = values(t.spark, [("tempmail.com",), ("10minutemail.com",), ("guerrillamail.com",)], "domain string")
+    domains = values(t.spark, [(d,) for d in C.BLOCKED_DOMAINS], "domain string")
     return t.emails.join(F.broadcast(domains), C.email_domain("email") == F.col("domain"), "left_semi").select("c_custkey")
 
 
@@ -152,12 +154,13 @@ def _(t):
 @query("A15_tiering", "SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) >= DATE '2001-05-03' THEN 'hot' WHEN CAST(o_orderdate AS DATE) >= DATE '2001-04-30' THEN 'warm' ELSE 'cold' END AS tier FROM orders")
 def _(t):
     d = F.to_date("o_orderdate")
-    hot, warm = F.lit("2001-05-03").cast("date"), F.lit("2001-04-30").cast("date")
-    tiers = [("hot", d >= hot), ("warm", (d >= warm) & (d < hot)), ("cold", d < warm)]
-    return R.union_all(*[t.orders.filter(c).select("o_orderkey", F.lit(n).alias("tier")) for n, c in tiers])
+    return t.orders.select("o_orderkey", F.when(d >= F.lit("2001-05-03").cast("date"), "hot").when(d >= F.lit("2001-04-30").cast("date"), "warm").otherwise("cold").alias("tier"))
 
 
-@query("A16_volume_based")
+_BY_VOLUME = "CASE WHEN count(*) > 10000000 THEN 'incremental' WHEN count(*) > 1000000 THEN 'table' ELSE 'view' END AS materialization"
+
+
+@query("A16_volume_based", f"SELECT 'orders' AS model, count(*) AS n_rows, {_BY_VOLUME} FROM orders UNION ALL SELECT 'lineitem', count(*), {_BY_VOLUME} FROM lineitem")
 def _(t):
     rows = [(n, c, choose_materialization(c)) for n in ("orders", "lineitem") for c in [getattr(t, n).count()]]
     return values(t.spark, rows, "model string, n_rows long, materialization string")
@@ -196,6 +199,40 @@ def _(t):
     return t.store.read("run_log").select("model_name", "status", "materialized")
 
 
+_STATISTICS = ", ".join(f"('{c}', (SELECT count(*) FROM part), (SELECT count(*) - count({c}) FROM part), (SELECT CAST(min({c}) AS VARCHAR) FROM part), (SELECT CAST(max({c}) AS VARCHAR) FROM part))" for c in ("p_partkey", "p_size"))
+
+
+@query("A23_statistics", f"SELECT * FROM (VALUES {_STATISTICS}) v(column_name, n_rows, n_null, low, high)")
+def _(t):
+    name = f"part_{uuid.uuid4().hex}"
+    t.part.select("p_partkey", "p_size").write.saveAsTable(name)
+    try:
+        maintain(t.spark, name)
+        return statistics(t.spark, name)
+    finally:
+        t.spark.sql(f"DROP TABLE {name}")
+
+
+@query("A26_dialect_dispatch", """SELECT p_partkey, CASE WHEN p_size <> 0 THEN p_retailprice / p_size END AS own, 'default' AS other, 'core.spark' AS found FROM part""")
+def _(t):
+    divide = {"spark": lambda a, b: F.try_divide(a, b), "default": lambda a, b: F.when(b != 0, a / b)}
+    name = {"default": lambda: F.lit("default"), "snowflake": lambda: F.lit("snowflake")}
+    packages = {"core": {"default": lambda: F.lit("core.default"), "spark": lambda: F.lit("core.spark")}, "utils": {"default": lambda: F.lit("utils.default")}}
+    return t.part.select("p_partkey", dispatch(divide)(F.col("p_retailprice"), F.col("p_size")).alias("own"), dispatch(name)().alias("other"), dispatch_in(packages, ["project", "core", "utils"])().alias("found"))
+
+
+@query("A27_labels", "SELECT * FROM (VALUES ('job', 'cost_center', 'marketing'), ('job', 'team', 'analytics'), ('table', 'cost_center', 'marketing'), ('table', 'team', 'analytics'), ('comment', 'comment', 'cost_center=marketing, team=analytics')) v(kind, label, value)")
+def _(t):
+    labels, name = {"team": "analytics", "cost_center": "marketing"}, f"region_{uuid.uuid4().hex}"
+    with labelled(t.spark, **labels):
+        t.region.write.saveAsTable(name)
+        try:
+            label_table(t.spark, name, **labels)
+            return labels_of(t.spark, name)
+        finally:
+            t.spark.sql(f"DROP TABLE {name}")
+
+
 @query("A24_run_log_source", "SELECT model_name, count(*) AS n, round(sum(seconds) / 3600 * 2.5, 4) AS cost FROM runs GROUP BY 1", "runs")
 def _(t):
     return t.runs.groupBy("model_name").agg(F.count("*").alias("n"), F.round(F.sum("seconds") / 3600 * 2.5, 4).alias("cost"))
@@ -337,17 +374,30 @@ def _(t):
     return I.sweep(t.before, t.now, ["c_custkey"]).select("c_custkey")
 
 
-@query("B18_production_merge", """SELECT user_id, event_type, amount, change_kind FROM (SELECT user_id, event_type, value AS amount, CASE WHEN event_id % 10 = 9 THEN 'DELETE' WHEN lag(event_type) OVER w IS NULL THEN 'NEW' WHEN lag(event_type) OVER w <> event_type THEN 'CHANGED' ELSE 'SAME' END AS change_kind,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-01-24' AND value > 1 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE rn = 1 AND change_kind <> 'DELETE'""")
+@query("B18_production_merge", """WITH e AS (SELECT user_id, event_type, value AS amount, ts, event_id, event_id % 10 <> 9 AS is_active FROM events),
+  r AS (SELECT 1 AS run, * FROM e WHERE ts < TIMESTAMP '2024-01-24' UNION ALL SELECT 2, * FROM e WHERE ts >= (SELECT date_trunc('day', max(ts)) FROM e WHERE ts < TIMESTAMP '2024-01-24' AND amount > 1) - INTERVAL 3 DAY),
+  c AS (SELECT *, CASE WHEN NOT is_active AND lag(is_active) OVER w THEN ts END AS deleted_at, CASE WHEN lag(event_type) OVER w <> event_type THEN 'type_changed' WHEN lag(amount) OVER w <> amount THEN 'amount_changed' ELSE 'no_change' END AS change_type FROM r WINDOW w AS (PARTITION BY run, user_id ORDER BY ts, event_id)),
+  l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY run DESC, ts DESC, event_id DESC) AS rn FROM c WHERE amount > 1)
+  SELECT user_id, event_type, amount, change_type, ts AS last_updated FROM l WHERE rn = 1 AND is_active AND deleted_at IS NULL""")
 def _(t):
     from pyspark.sql import Window as W
 
-    before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    kind = F.when(F.col("event_id") % 10 == 9, "DELETE").when(before.isNull(), "NEW").when(before != F.col("event_type"), "CHANGED").otherwise("SAME")
-    recent = t.events.filter((F.col("ts") >= _at("2024-01-24")) & (F.col("value") > 1)).withColumn("change_kind", kind)
-    newest = R.latest(recent, "user_id", [F.col("ts").desc(), F.col("event_id").desc()])
-    made = newest.select("user_id", "event_type", F.col("value").alias("amount"), "change_kind")
-    return I.upsert(made.limit(0), made, ["user_id"]).filter("change_kind <> 'DELETE'")
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    events = t.events.withColumnRenamed("value", "amount").withColumn("is_active", F.col("event_id") % 10 != 9)
+
+    def model(rows):
+        """Rows with what their change was, those of good quality, the newest of each key."""
+        before = lambda c: F.lag(c).over(w)
+        change = F.when(before("event_type") != F.col("event_type"), "type_changed").when(before("amount") != F.col("amount"), "amount_changed").otherwise("no_change")
+        typed = rows.withColumn("deleted_at", F.when(~F.col("is_active") & before("is_active"), F.col("ts"))).withColumn("change_type", change)
+        newest = R.latest(typed.filter("amount > 1"), "user_id", [F.col("ts").desc(), F.col("event_id").desc()])
+        return newest.select("user_id", "event_type", "amount", "is_active", "deleted_at", "change_type", F.col("ts").alias("last_updated"))
+
+    target = model(events.filter(F.col("ts") < _at("2024-01-24")))
+    mark = I.high_water(target, "last_updated", datetime(1900, 1, 1))
+    lookback = datetime(mark.year, mark.month, mark.day) - timedelta(days=3)
+    merged = I.upsert(target, model(events.filter(F.col("ts") >= F.lit(lookback).cast("timestamp_ntz"))), ["user_id"])
+    return merged.filter("is_active AND deleted_at IS NULL").drop("is_active", "deleted_at")
 
 
 @query("B19_smart_merge", "SELECT c_custkey, c_acctbal, c_mktsegment FROM now UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM before WHERE c_custkey % 11 = 0", "before now")
