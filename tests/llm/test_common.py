@@ -31,7 +31,11 @@ def test_saved_tables_can_be_dropped(spark):
     common.drop_saved(spark)
     import os
 
-    assert not os.path.exists(path) and spark.sparkContext._tidemark_paths == []
+    assert not os.path.exists(path) and common.saved_paths(spark) == []
+    (a, kept), (b, gone) = common.saved_at(spark.range(3), "x"), common.saved_at(spark.range(4), "y")
+    common.drop_saved(spark, but=[kept])
+    assert common.saved_paths(spark) == [kept] and a.count() == 3 and not os.path.exists(gone.removeprefix("file:"))
+    common.drop_saved(spark)
 
 
 def test_free_name(spark):

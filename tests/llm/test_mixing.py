@@ -58,3 +58,15 @@ def test_mix_gives_whole_copies(docs, monkeypatch, few):
 def test_odd_and_empty(docs, odd):
     assert mixing.plan(docs()).count() == 0 and mixing.mix(docs()).count() == 0
     assert mixing.plan(odd).count() == odd.count()
+
+
+def test_many_sources(spark, docs):
+    """A source for each host: targets equal those that are found one source at a time."""
+    rows = [(i, "w " * (1 + (i * i) % 40), "en", f"host{i % 400}") for i in range(1200)]
+    got = mixing.plan(docs(*rows)).collect()
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = slow_targets(sizes)
+    source = {r[0]: r[3] for r in rows}
+    assert all(r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(want[source[r.doc_id]]) for r in got)

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def by_range(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df dealt by ranges of order, with range, the number of a row's; ranges are in order. Computed now, so they stay."""
+    return cut(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+
+
+def few_rows(df: DataFrame, few: int) -> DataFrame:
+    """df, computed now; broadcast in joins if it has at most few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= few else df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses, remembered for drop_saved()."""
     path, sc = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}", spark.sparkContext
@@ -59,11 +70,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     spark.sparkContext._tidemark_paths = [x for x in spark.sparkContext._tidemark_paths if x != path]
 
 
-def drop_saved(spark: SparkSession) -> None:
-    """Delete what this application has put under the shared folder; results that still read it must be written first."""
-    for path in getattr(spark.sparkContext, "_tidemark_paths", []):
+def saved_paths(spark: SparkSession) -> list[str]:
+    """The paths under the shared folder that this application has put and not deleted."""
+    return list(getattr(spark.sparkContext, "_tidemark_paths", []))
+
+
+def drop_saved(spark: SparkSession, but: Iterable[str] = ()) -> None:
+    """Delete what this application has put under the shared folder, but the paths given; results that still read it must be
+    written first."""
+    for path in set(saved_paths(spark)) - set(but):
         drop_path(spark, path)
-    spark.sparkContext._tidemark_paths = []
 
 
 def ship(spark: SparkSession) -> None:

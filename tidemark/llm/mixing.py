@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, n_words
+from tidemark.llm.common import by_range, cut, n_words
 
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
@@ -41,24 +41,32 @@ def _sources(parts: DataFrame, weights: tuple, most: float) -> DataFrame:
     sources from one on would get for each unit of weight if all before it stood at their caps.
     """
     sizes = parts.groupBy("s").agg(F.sum("part_size").alias("source_size"))
-    by_name = W.orderBy((F.col("s") == "").cast("int"), "s")
-    place = F.row_number().over(by_name) - 1
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    filling = W.orderBy(F.col("cap") / F.col("weight"), "s").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    levels = weighed.select(
-        "*",
-        F.sum("source_size").over(everything).cast("double").alias("total"),
-        F.coalesce(F.sum("cap").over(filling), F.lit(0.0)).alias("capped"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filling), F.lit(0.0))).alias("weight_left"),
-    )
-    level = F.max((F.col("total") - F.col("capped")) / F.col("weight_left")).over(everything)
-    target = levels.select("s", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
+    named = _before(sizes, [(F.col("s") == "").cast("int"), F.col("s")], place=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = named.select("s", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    filled = _before(weighed, [F.col("cap") / F.col("weight"), F.col("s")], capped=F.col("cap"), used=F.col("weight"))
+    totals = filled.agg(F.sum("source_size").cast("double").alias("total"), F.sum("weight").alias("weights"))
+    level = filled.crossJoin(F.broadcast(totals)).agg(F.max((F.col("total") - F.col("capped")) / (F.col("weights") - F.col("used"))).alias("level"))
+    target = filled.crossJoin(F.broadcast(level)).select("s", "source_size", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
     return target.withColumn("epochs", epochs.cast("long")).withColumn("rest", (budget - F.col("epochs") * F.col("source_size")).cast("long"))
 
 
+def _before(rows: DataFrame, order: list, **sums) -> DataFrame:
+    """rows with a column for each of sums: its sum over the rows that come before by order, 0 for the first.
+
+    Rows are dealt by ranges of order; only the sums of whole ranges, a row for each, meet in one task.
+    """
+    dealt = by_range(rows, *order)
+    ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0)
+    whole = dealt.groupBy("range").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).select("range", *[F.coalesce(F.sum(n).over(ahead), zero).alias(f"{n}_ahead") for n in sums])
+    met = dealt.join(F.broadcast(whole), "range")
+    return met.select(*rows.columns, *[(F.coalesce(F.sum(c).over(within), zero) + F.col(f"{n}_ahead")).alias(n) for n, c in sums.items()])
+
+
 def _planned(rows: DataFrame, weights: tuple, most: float) -> DataFrame:
     """Keyed rows with before, the words of their source that come first, and their source's figures."""
     parts = cut(rows.groupBy("s", "part").agg(F.sum("size").alias("part_size")))

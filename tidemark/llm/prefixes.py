@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop_path, lean, saved_at, ship
-from tidemark.llm.similar import FEW, PARITIES, few_rows, grouped, needed, shingle_sets
+from tidemark.llm.common import cut, drop_path, few_rows, lean, saved_at, ship
+from tidemark.llm.similar import FEW, PARITIES, grouped, needed, shingle_sets
 
 #: One text of so many is sampled for common shingles; a shingle that so many sampled texts have is one.
 SAMPLE, COMMON = 16, 8

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.common import cut, free_name, lean, ship
+from tidemark.llm.common import cut, few_rows, free_name, lean, ship
 from tidemark.llm.gray import QUERIES, GrayIndex
 
 #: Rows of a few longs of which a list may be broadcast.
@@ -215,12 +215,6 @@ def outlines_fit(pairs: DataFrame, outlines: DataFrame, similarity: float) -> Da
     return met.filter((F.least(n, m) >= needed(n, m, similarity)) & (differ <= n + m - 2 * needed(n, m, similarity))).select("u", "v")
 
 
-def few_rows(df: DataFrame, few: int) -> DataFrame:
-    """df, computed now; broadcast in joins if it has at most few rows."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= few else df
-
-
 def asked(texts: DataFrame, ids: DataFrame, few: int = FEW) -> DataFrame:
     """The rows of texts whose id is in the distinct ids: up to few go to every task, more are joined by shuffling."""
     return texts.join(few_rows(ids.select("id"), few), "id", "left_semi")
