@@ -21,6 +21,21 @@ def test_edited_texts_follow_the_next_document(docs):
         assert got[doc].text == text and got[doc].edited == text[: len(text) - half] + after[:half]
 
 
+@pytest.mark.parametrize("few", [syncmers.FEW, 0])
+def test_next_rows_of_sparse_equal_and_missing_ids(spark, monkeypatch, few):
+    """Ids drawn from 64 bits, many rows of one id, and of none: each row but the last by id, hash and text has the next."""
+    monkeypatch.setattr(syncmers, "FEW", few)
+    monkeypatch.setattr(syncmers, "LARGE", 20)
+    monkeypatch.setattr(syncmers, "BLOCK", 8)
+    rng = random.Random(4)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), f"sparse {i}") for i in range(100)] + [(7, f"same id {rng.randrange(90)}") for i in range(150)] + [(None, f"no id {i}") for i in range(90)] + [(i, f"dense {i}") for i in range(60)]
+    rng.shuffle(rows)
+    got = syncmers.with_next(spark.createDataFrame(rows, "doc_id long, text string"), ["text"]).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, _signed(xxhash.xxh64_intdigest(r[1].encode(), 42)), r[1]))
+    want = [(*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_anchors_are_closed_syncmers(docs, spark):
     rng = random.Random(1)
     text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(rng.randrange(30)) for _ in range(300))

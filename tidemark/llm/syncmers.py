@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import by_range, few_rows
 
 #: Words of a k-mer and of an inner string; half of the k-mers are chosen.
 K, S = 5, 2
 #: Anchors in a fingerprint: those with the least hashes.
 SKETCH = 128
-#: Documents with neighbouring ids that are paired in one task, and blocks of which a list may be broadcast.
-BLOCK, FEW = 256, 200_000
+#: Rows of a block, rows from which a block is dealt by id and text, and rows of which a list may be broadcast.
+BLOCK, LARGE, FEW = 256, 4096, 200_000
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -70,31 +70,51 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def _blocks(ids: DataFrame) -> DataFrame:
-    """(block, first_id, prev): each block that has rows, its least id and the block before it; before the first, the last."""
-    blocks = ids.groupBy("block").agg(F.min("doc_id").alias("first_id")).withColumn("span", F.expr("block div 4096"))
-    near = W.partitionBy("span").orderBy("block")
-    spans = blocks.groupBy("span").agg(F.max("block").alias("top"))
-    before = spans.withColumn("prev_top", F.coalesce(F.lag("top").over(W.orderBy("span")), F.max("top").over(W.partitionBy())))
-    return blocks.withColumn("prev", F.lag("block").over(near)).join(before.select("span", "prev_top"), "span").select("block", "first_id", F.coalesce("prev", "prev_top").alias("prev"))
+#: Groups by which neighbours meet, in order; of a large block each id has groups of its own, of equal ids by ranges of the hash.
+_GROUP = ["no_id", "block", "own_id", "slice"]
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows with h, a hash of the text, and the columns of _GROUP; ids spread evenly make blocks of about BLOCK rows."""
+    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    width = BLOCK * (1 + (high - low) // n) if n else BLOCK
+    placed = rows.withColumn("no_id", F.col("doc_id").isNull()).withColumn("block", F.coalesce(F.expr(f"doc_id div {min(width, (1 << 63) - 1)}L"), F.lit(0).cast("long"))).withColumn("h", F.xxhash64("text"))
+    sizes = placed.groupBy("no_id", "block").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).withColumn("bits", F.ceil(F.log2(F.col("n") / LARGE)).cast("int"))
+    met = placed.join(few_rows(sizes.select("no_id", "block", "bits"), FEW), ["no_id", "block"], "left")
+    large = F.col("bits").isNotNull()
+    return met.withColumn("own_id", F.when(large, F.coalesce("doc_id", F.lit(0)))).withColumn("slice", F.when(large, F.expr("shiftright(h, 64 - bits)"))).drop("bits")
+
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    """(_GROUP, first_id, first_h, to_<_GROUP>): each group, its first row's id and hash, and the group before it; before the first, the last."""
+    groups = rows.groupBy(*_GROUP).agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    order = [F.col(c) for c in _GROUP]
+    dealt = by_range(groups, *order)
+    me, near = F.struct(*_GROUP), W.partitionBy("range").orderBy(*order)
+    # a row for each range: where it ends
+    tops = dealt.groupBy("range").agg(F.max(me).alias("top"))
+    ends = tops.select("range", F.coalesce(F.lag("top").over(W.orderBy("range")), F.max("top").over(W.partitionBy())).alias("ahead"))
+    prev = F.coalesce(F.lag(me).over(near), F.col("ahead"))
+    return dealt.join(F.broadcast(ends), "range").select(*_GROUP, F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), prev.alias("prev")).select("*", *[F.col(f"prev.{c}").alias(f"to_{c}") for c in _GROUP]).drop("prev")
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows (doc_id, text, ...) with next_<c> for each of columns: the row's that follows by ascending doc_id, null last.
 
-    After the last row comes the first; rows with the same doc_id follow each other by text. Rows travel once, to their
-    block of ids; the first rows of a block also go to the block before.
+    After the last row comes the first; rows with the same doc_id follow each other by a hash of their texts, then by text. Rows
+    travel once, to their group of ids; the first rows of a group also go to the group before.
     """
-    block = F.coalesce(F.expr(f"cast(floor(doc_id / {BLOCK}) as long)"), F.lit((1 << 62)))
-    placed = rows.withColumn("block", block)
-    firsts = cut(_blocks(placed.select("doc_id", "block")))
-    guests = firsts.select(F.col("block").alias("b"), "first_id", "prev")
-    if guests.count() <= FEW:
-        guests = F.broadcast(guests)
-    met = placed.join(guests, (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
-    own, guest = F.struct(F.col("block").alias("to"), F.lit(False).alias("guest")), F.struct(F.col("prev").alias("to"), F.lit(True).alias("guest"))
-    sent = met.withColumn("go", F.explode(F.when(F.col("prev").isNull(), F.array(own)).otherwise(F.array(own, guest))))
-    order = W.partitionBy("go.to").orderBy("go.guest", F.col("doc_id").asc_nulls_last(), "text")
+    placed = _grouped(rows)
+    firsts = few_rows(_firsts(placed.select("doc_id", "h", *_GROUP)), FEW)
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    a, b = placed.alias("a"), firsts.alias("b")
+    on = same("a.block", "b.block") & same("a.doc_id", "b.first_id") & (F.col("a.h") == F.col("b.first_h"))
+    for c in ("no_id", "own_id", "slice"):
+        on = on & same(f"a.{c}", f"b.{c}")
+    own = F.struct(*[F.col(f"a.{c}").alias(c) for c in _GROUP], F.lit(False).alias("guest"))
+    guest = F.struct(*[F.col(f"b.to_{c}").alias(c) for c in _GROUP], F.lit(True).alias("guest"))
+    sent = a.join(b, on, "left").select("a.doc_id", "a.text", *[f"a.{c}" for c in rows.columns if c not in ("doc_id", "text")], "a.h", F.explode(F.when(F.col("b.first_h").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("go"))
+    order = W.partitionBy(*[f"go.{c}" for c in _GROUP]).orderBy("go.guest", F.col("doc_id").asc_nulls_last(), "h", "text")
     led = sent.select(*rows.columns, "go", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return led.filter(~F.col("go.guest")).drop("go")
 
