@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fresh_path, lean, ship
+from tidemark.llm.common import cut, few_rows, fresh_path, lean, ship
 
 CHUNK = 1 << 20
 #: Payloads of fewer bytes are never left out.
@@ -29,6 +29,8 @@ MIN_REVISIT = 1000
 #: Bytes of payload after which a task starts its next archive.
 ROTATE = 1 << 27
 DATE = "1970-01-01T00:00:00Z"
+#: Digests of which a list may be broadcast.
+FEW = 200_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "urn:tidemark:page:"
 
@@ -94,7 +96,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     The payload is html in UTF-8, empty for null. Of records with equal payloads of MIN_REVISIT bytes or more, those with
     the largest page_id are responses and the others revisit it; where all page_ids are null, and for shorter payloads,
-    all are responses. Equal means equal length and SHA-1. An empty table gives no archives.
+    all are responses. Equal means equal length and SHA-1. Each row has its record, so repeated page_ids have several of the
+    same name; other columns of pages don't count. An empty table gives no archives.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -103,7 +106,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = rows.select("page_id", "digest", F.length("payload").alias("n")).filter(F.col("n") >= MIN_REVISIT)
     kept = long.groupBy("digest", "n").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies")).filter("copies > 1").select(F.col("digest").alias("d"), "n", "kept")
-    met = rows.join(kept, (F.col("digest") == F.col("d")) & (F.length("payload") == F.col("n")), "left")
+    # up to FEW digests with several pages go to every task, so payloads stay where they are
+    met = rows.join(few_rows(kept, FEW), (F.col("digest") == F.col("d")) & (F.length("payload") == F.col("n")), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
