@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import words
-from tidemark.llm.common import free_name, lean, ship
+from tidemark.llm.common import cut, free_name, lean, ship
 
 BUCKETS = 1 << 14
 #: Words times languages that a task infers on at once, and steps of expectation-maximisation.
@@ -26,6 +26,10 @@ CELLS, STEPS = 1 << 18, 8
 #: Added to every trigram's count; the least that a word's likelihood in a language counts against its best.
 SMOOTH, FLOOR = 0.1, np.float32(1e-6)
 UNKNOWN = "und"
+#: Languages that a model may have; a table with more labels is refused, for a model of any size would not fit a worker.
+MOST = 512
+#: Languages that a task counts at once.
+COUNTED = 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -49,7 +53,13 @@ def _trigrams(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count():
-    """(lang, text) come in; (lang, bucket, n) go out: trigram counts of a partition."""
+    """(lang, text) come in; (lang, bucket, n) go out: trigram counts of a partition, a language's once or more."""
+
+    def flush(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, own in sorted(counts.items()):
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+        counts.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -67,9 +77,9 @@ def _count():
                 times = np.bincount(ids[of == k], minlength=len(sizes))
                 own = np.bincount(buckets, weights=np.repeat(times, sizes), minlength=BUCKETS).astype(np.int64)
                 counts[name] = counts.get(name, 0) + own
-        for name, own in sorted(counts.items()):
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+                if len(counts) >= COUNTED:
+                    yield from flush(counts)
+        yield from flush(counts)
 
     return run
 
@@ -77,15 +87,20 @@ def _count():
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods of shape (BUCKETS, languages)) from all rows with a lang and a text.
 
-    Counts are summed where the rows are; the model has BUCKETS figures for each language, whatever the data's size.
+    Counts are summed where the rows are; the model has BUCKETS figures for each language, whatever the data's size. More
+    than MOST languages are a ValueError.
     """
     ship(labelled.sparkSession)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    found = rows.mapInArrow(lean(_count()), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found["lang"].unique().tolist())
-    counts = np.zeros((BUCKETS, len(languages)))
-    counts[found["bucket"].to_numpy(np.int64), found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)] = found["n"]
-    return languages, np.log((counts + SMOOTH) / (counts + SMOOTH).sum(axis=0)).astype(np.float32)
+    summed = rows.mapInArrow(lean(_count()), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = cut(summed.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts")))
+    if (n := found.count()) > MOST:
+        raise ValueError(f"lang has {n} values; a model may have {MOST}")
+    got = found.orderBy("lang").toArrow()
+    table = np.full((BUCKETS, n), SMOOTH)
+    for k in range(n):
+        table[got["buckets"][k].values.to_numpy(), k] += got["counts"][k].values.to_numpy()
+    return got["lang"].to_pylist(), np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
 def mixtures(likely: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray:
