@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, free_name, lean, saved, ship
+from tidemark.llm.common import cut, few_rows, free_name, lean, saved, ship
 from tidemark.llm.graph import components
 from tidemark.llm.gray import QUERIES, GrayIndex
 from tidemark.llm.prefixes import common_shingles, prefix_of, remaining_links
@@ -180,12 +180,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     Repeated rows come out repeated. An empty table gives an empty one.
     """
     rows = cut(fingerprints(docs.select("doc_id", "text"), shingle, keep=["doc_id"]))
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    groups = cut(clusters(rows, radius))
-    named = least.join(groups, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    # written first, so that both sides of the join are shuffles and a fingerprint of very many rows can be split
-    of = cut(named.join(low, "root").select("fp", "component_id"))
+    least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    linked = least.join(few_rows(clusters(rows, radius), FEW), "fp")
+    low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = linked.select("fp", "root").join(low, "root").select("fp", "component_id")
+    # written first, so that both sides of the last join are shuffles and a fingerprint of very many rows can be split
+    of = cut(least.join(few_rows(named, FEW), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
