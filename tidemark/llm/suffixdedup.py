@@ -26,7 +26,7 @@ LENGTH, GRAM = 400, 48
 #: Different contexts of an anchor that one transform takes, and bytes of contexts in one transform.
 CONTEXTS, SHARD = 1000, 1 << 19
 #: Bytes that are hashed together, and of window hashes that are compared in one task.
-CHUNK, ROOM = 1 << 20, 1 << 24
+CHUNK, ROOM = 1 << 20, 1 << 21
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD
 _LUT = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
