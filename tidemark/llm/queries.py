@@ -39,7 +39,7 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "n_bytes", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
