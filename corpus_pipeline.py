@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import credentials, langid, mixing, pieces, simhash
-from tidemark.llm.common import free_name, saved
+from tidemark.llm.common import drop_saved, free_name, saved_at, saved_paths
 
 #: A document goes if no language has so large a share of its words.
 MIN_SHARE = 0.5
@@ -54,8 +54,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result but the last is written to the shared folder and read again.
+
+    When a stage is written, the one before it and what it saved on its way are deleted. The last stage reads what is left
+    when its rows are asked for; common.drop_saved() deletes that.
+    """
+    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), saved_paths(spark)
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs, path = saved_at(stage(spark, docs, sf_dir), name)
+        drop_saved(spark, but=[*others, path])
     return STAGES[-1][1](spark, docs, sf_dir)
