@@ -70,6 +70,10 @@ def test_cumulative_metrics_with_both_dates_run_nothing_while_planned(spark):
     assert jobs("1997-04-30") < jobs(None)
 
 
+def test_cumulative_metrics_by_a_dimension_need_no_cross_join(spark):
+    assert "NestedLoop" not in plan(spark, "P04c_by_dimension")
+
+
 @pytest.mark.parametrize("name", ["P09_trend_stats", "A15_tiering"])
 def test_no_window_over_all_rows(spark, name):
     assert "Window" not in plan(spark, name)

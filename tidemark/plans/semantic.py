@@ -195,7 +195,8 @@ class Registry:
         """A value for each day of the query, whatever the grain: the measure over the window that ends with the day.
 
         Only rows that a window of the query holds are read. The days are those from start_date to end_date; where one isn't
-        given, from the first or to the last day of the data. With dimensions, each of their values gets all of these days.
+        given, from the first or to the last day of the data. With dimensions, each combination gets those whose window holds
+        rows of it.
         """
         model, x = self.measures[m.measure]
         first = None
@@ -203,12 +204,12 @@ class Registry:
             first = str(date.fromisoformat(q.start_date) - timedelta(days=m.window_days - 1))
         if x.agg in ADDITIVE:
             daily = self._measured(m.measure, q.dimensions, "day", filters, first, q.end_date)
-            days = self._days(daily, q, first)
-            dense = days.crossJoin(daily.select(*q.dimensions).distinct()) if q.dimensions else days
-            met = _left(dense, daily, ["metric_time", *q.dimensions])
+            met = _left(self._days(daily, q, first, m.window_days), daily, ["metric_time", *q.dimensions])
             w = W.partitionBy(*q.dimensions).orderBy(F.datediff("metric_time", F.lit("1970-01-01").cast("date")))
             w = w.rangeBetween(W.unboundedPreceding if m.window_days is None else 1 - m.window_days, 0)
             out = met.withColumn("value", F.sum("value").over(w))
+            if q.dimensions:
+                out = out.filter("value is not null")
         else:
             extra = [d for f in filters for d in self._dims_in(f)]
             df = self._base(model, list(dict.fromkeys([*q.dimensions, *extra])), x.time or model.time)
@@ -222,22 +223,29 @@ class Registry:
             leaves = again if m.window_days is None else F.least(again, F.date_add("metric_time", m.window_days))
             moves = seen.withColumn("_until", leaves).select(*q.dimensions, F.explode(F.array(F.struct(F.col("metric_time").alias("d"), F.lit(1).alias("n")), F.struct(F.col("_until").alias("d"), F.lit(-1).alias("n")))).alias("_m"))
             daily = moves.groupBy(F.col("_m.d").alias("metric_time"), *q.dimensions).agg(F.sum("_m.n").alias("value")).filter("metric_time is not null")
-            days = self._days(seen, q, first)
-            dense = days.crossJoin(seen.select(*q.dimensions).distinct()) if q.dimensions else days
-            met = _left(dense, daily, ["metric_time", *q.dimensions])
+            met = _left(self._days(seen, q, first, m.window_days), daily, ["metric_time", *q.dimensions])
             w = W.partitionBy(*q.dimensions).orderBy("metric_time").rowsBetween(W.unboundedPreceding, 0)
             out = met.withColumn("value", F.coalesce(F.sum("value").over(w), F.lit(0)))
+            if q.dimensions:
+                out = out.filter("value > 0")
         if q.start_date:
             out = out.filter(F.col("metric_time") >= F.lit(q.start_date).cast("date"))
         return out
 
-    def _days(self, df: DataFrame, q: MetricQuery, first: str | None) -> DataFrame:
-        """The days that windows need: from first, or where that is open from the first of the data."""
+    def _days(self, df: DataFrame, q: MetricQuery, first: str | None, window: int | None) -> DataFrame:
+        """The days that windows need: from first, or where that is open from the first of the data; of each combination of
+        dimensions only those from its first day until its last window ends."""
         low, high = first, q.end_date
-        if not (low and high):
+        if not high or not (low or q.dimensions):
             least, most = df.agg(F.min("metric_time"), F.max("metric_time")).first()
             low, high = low or str(least or "1970-01-01"), high or str(most or "1970-01-01")
-        return date_spine(df.sparkSession, low, high, "day", "metric_time", include_end=True)
+        if not q.dimensions:
+            return date_spine(df.sparkSession, low, high, "day", "metric_time", include_end=True)
+        last = F.lit(high).cast("date")
+        if window is not None:
+            last = F.least(last, F.date_add(F.max("metric_time"), window - 1))
+        spans = df.groupBy(*q.dimensions).agg(F.min("metric_time").alias("_from"), last.alias("_to"))
+        return spans.filter("_from <= _to").select(*q.dimensions, F.explode(F.sequence("_from", "_to")).alias("metric_time"))
 
     def _derived(self, m: Metric, q: MetricQuery, keys: Sequence[str]) -> DataFrame:
         out = None

@@ -69,6 +69,12 @@ def _(t):
     return registry(t).query(S.MetricQuery(["orders_30d", "customers_30d"], start_date="1997-03-01", end_date="1997-04-30", granularity="day"))
 
 
+@query("P04c_by_dimension", """WITH days AS (SELECT CAST(d AS DATE) AS metric_time FROM generate_series(DATE '1997-03-01', DATE '1997-04-30', INTERVAL 1 DAY) s(d))
+  SELECT metric_time, o_orderstatus AS order_status, count(*) AS orders_30d, count(DISTINCT o_custkey) AS customers_30d FROM days JOIN orders ON CAST(o_orderdate AS DATE) <= metric_time AND CAST(o_orderdate AS DATE) > metric_time - 30 GROUP BY 1, 2""")
+def _(t):
+    return registry(t).query(S.MetricQuery(["orders_30d", "customers_30d"], ["order_status"], "1997-03-01", "1997-04-30", "day"))
+
+
 @query("P04b_all_time", "SELECT CAST(o_orderdate AS DATE) AS metric_time, round(sum(sum(o_totalprice)) OVER (ORDER BY CAST(o_orderdate AS DATE)), 2) AS revenue_to_date FROM orders GROUP BY 1")
 def _(t):
     made = registry(t).query(S.MetricQuery(["revenue_to_date"], granularity="day"))
