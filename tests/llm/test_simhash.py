@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -207,6 +208,21 @@ def test_as_many_masks_as_the_chance_needs():
         assert similar.found_by(len(masks), len(masks[0]), 0.8) >= similar.RECALL and all(len(set(m)) == len(masks[0]) for m in masks)
 
 
+def test_sets_of_a_slice_are_those_of_its_texts():
+    """Of each text the same, whatever rows stand beside it in a batch; as many as there are different shingles."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["A", "bé", "Cc", "漢字", "dd,"]) for _ in range(rng.randint(0, 60))) for _ in range(200)] + [None, "", " \t", "one", "a b c d e"]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.array(texts, kind)
+        whole = similar.shingle_sets(batch)
+        alone = [similar.shingle_sets(pa.array([t], kind))[0] for t in texts]
+        parts = [x for at in range(0, len(texts), 37) for x in similar.shingle_sets(batch.slice(at, 37))]
+        for t, a, b, c in zip(texts, whole, alone, parts, strict=True):
+            assert a.tolist() == b.tolist() == c.tolist() and len(a) == len(shingle_set(t))
+    lower = [similar.shingle_sets(pa.array([(t or "").encode().lower().decode()]))[0].tolist() for t in texts]
+    assert lower == [x.tolist() for x in whole]
+
+
 def test_gray_order_of_wide_codes():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 2**64, (2, 300), dtype=np.uint64)

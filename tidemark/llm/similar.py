@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +50,9 @@ def shingle_sets(texts: pa.Array, shingle: int = 5) -> list[np.ndarray]:
     """The distinct shingles of each text's lower-cased words as sorted 64-bit hashes; fewer words than a shingle make up one."""
     from xxhash import xxh64_intdigest
 
-    flat, bounds = words.split(pc.ascii_lower(texts.cast(pa.large_string())))
+    flat, bounds = words.split(texts)
     coded = flat.dictionary_encode()
-    of_word = np.fromiter((xxh64_intdigest(w, 42) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    of_word = np.fromiter((xxh64_intdigest(w.lower(), 42) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
     own = of_word[coded.indices.to_numpy()]
     rolled = own[: max(0, len(own) - shingle + 1)]
     for j in range(1, shingle):
