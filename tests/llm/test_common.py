@@ -1,6 +1,9 @@
 import random
 
-from tidemark.llm import common, graph
+import pyarrow as pa
+import pytest
+
+from tidemark.llm import common, graph, words
 
 
 def test_components_equal_union_find(spark, monkeypatch):
@@ -40,3 +43,19 @@ def test_saved_tables_can_be_dropped(spark):
 
 def test_free_name(spark):
     assert common.free_name(spark.range(1).selectExpr("id as FP", "id as _fp"), "fp") == "__fp"
+
+
+@pytest.mark.parametrize("chunk", [words.CHUNK, 50, 3])
+def test_word_hashes(monkeypatch, chunk):
+    """Equal for equal words in either case, different for others, however a batch is sliced and cut up."""
+    monkeypatch.setattr(words, "CHUNK", chunk)
+    monkeypatch.setattr(words, "_powers", {})
+    rng, seen = random.Random(1), {}
+    texts = [None, "", " ", "a", "A b", "ab  cd\n"] + ["".join(rng.choice("aBé \t\n漢x") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for batch in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(texts).slice(3, 100), pa.array(texts, pa.large_string()).slice(7, 200), pa.array([], pa.string())):
+        found, bounds = words.hashes(batch)
+        for i, t in enumerate(batch.to_pylist()):
+            own = (t or "").encode().lower().split()
+            assert bounds[i + 1] - bounds[i] == len(own)
+            assert all(seen.setdefault(w, h) == h for w, h in zip(own, found[bounds[i] : bounds[i + 1]].tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen) > 300

@@ -20,7 +20,7 @@ from tidemark.llm.common import cut, drop_path, few_rows, lean, saved_at, ship
 from tidemark.llm.similar import FEW, PARITIES, grouped, needed, shingle_sets
 
 #: One text of so many is sampled for common shingles; a shingle that so many sampled texts have is one.
-SAMPLE, COMMON = 16, 8
+SAMPLE, COMMON = 32, 4
 #: Texts at a common shingle that are compared in one task.
 GROUP = 1024
 #: Pairs that are compared at once.

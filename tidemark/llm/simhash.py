@@ -20,7 +20,7 @@ from tidemark.llm.common import cut, few_rows, free_name, lean, saved, ship
 from tidemark.llm.graph import components
 from tidemark.llm.gray import QUERIES, GrayIndex
 from tidemark.llm.prefixes import common_shingles, prefix_of, remaining_links
-from tidemark.llm.similar import asked, fingerprint_links, needed, shingle_sets, with_sets, without
+from tidemark.llm.similar import asked, fingerprint_links, needed, parities_fit, shingle_sets, with_sets, without
 
 BITS = 64
 #: Fingerprints that one search may hold; larger groups are dealt again by their other bits.
@@ -189,39 +189,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def _hash_sets(shingle: int, whole: bool):
-    """Rows (id, text) come in; (id, n, hashes) go out, hashes of 64 bits if whole, else their low 32."""
+def _hash_sets(shingle: int):
+    """Rows (id, text) come in; (id, n, hashes) go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = (np.int64, pa.int64()) if whole else (np.int32, pa.int32())
         for b in batches:
             made = shingle_sets(b.column("text"), shingle)
-            sets = pa.array([x.astype(np.uint32).view(np.int32) if not whole else x.view(np.int64) for x in made], pa.list_(kind[1]))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in made], pa.int64()), sets], names=["id", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in made], pa.int64()), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))], names=["id", "n", "hashes"])
 
     return run
 
 
-def _alike(texts: DataFrame, shingle: int, similarity: float):
+def _alike(texts: DataFrame, sets: DataFrame, shingle: int, similarity: float):
     """A function from pairs (u, v) of ids to those whose sets of shingles, by hashes of 64 bits, have similarity or more.
 
-    Sets travel as 32 bits of each hash first, half as many bytes. Equal halves of different hashes shift the overlap by
-    about n * m / 2 ** 32; pairs that are no further than 8 and four times that from the threshold are compared by 64 bits.
+    Parities of the sets, a sixteenth of their bytes, rule out nearly all others before whole sets travel.
     """
 
-    def compared(pairs: DataFrame, whole: bool) -> DataFrame:
-        out = pairs
-        for end, n, hashes in (("u", "n", "a"), ("v", "m", "b")):
-            of = asked(texts.select("id", "text"), pairs.select(F.col(end).alias("id")).distinct(), FEW)
-            sets = of.mapInArrow(lean(_hash_sets(shingle, whole)), f"id long, n long, hashes array<{'long' if whole else 'int'}>")
-            out = out.join(sets.select(F.col("id").alias(end), F.col("n").alias(n), F.col("hashes").alias(hashes)), end)
-        over = F.size(F.array_intersect("a", "b")) - needed(F.col("n"), F.col("m"), similarity)
-        return out.select("u", "v", over.alias("over"), (F.lit(8) + F.col("n") * F.col("m") / float(1 << 30)).alias("slack"))
-
     def check(pairs: DataFrame) -> DataFrame:
-        rough = cut(compared(pairs, False))
-        unsure = rough.filter(F.abs("over") <= F.col("slack")).select("u", "v")
-        return rough.filter("over > slack").select("u", "v").unionByName(compared(unsure, True).filter("over >= 0").select("u", "v"))
+        out = left = cut(parities_fit(pairs, sets, similarity))
+        for end, n, hashes in (("u", "n", "a"), ("v", "m", "b")):
+            of = asked(texts, left.select(F.col(end).alias("id")).distinct(), FEW).mapInArrow(lean(_hash_sets(shingle)), "id long, n long, hashes array<long>")
+            out = out.join(of.select(F.col("id").alias(end), F.col("n").alias(n), F.col("hashes").alias(hashes)), end)
+        return out.filter(F.size(F.array_intersect("a", "b")) >= needed(F.col("n"), F.col("m"), similarity)).select("u", "v")
 
     return check
 
@@ -234,8 +224,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     these don't join are found by prefixes of the sets, which lose none. Of a group stays the row with the least doc_id, null
     last, of repeated rows one. Wordless and null texts are copies of each other. An empty table gives an empty one.
     """
-    names = [free_name(docs, x) for x in ("whole", "outline", "code", "prefix")]
-    whole, outline, code, prefix = names
+    names = [free_name(docs, x) for x in ("whole", "outline", "code", "prefix", "parity")]
+    whole, outline, code, prefix, parity = names
     rid = free_name(docs, "rid")
     common = common_shingles(docs.select(F.col("text").cast("string").alias("text")), shingle)
     cast = docs.sparkSession.sparkContext.broadcast(common)
@@ -244,8 +234,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     sets = cut(rows.groupBy(F.col(whole).alias("whole")).agg(F.min(rid).alias("id"), F.min(order).alias("best")).drop("whole"))
     copies = rows.select(F.col(rid).alias("id")).join(sets, "id", "left_anti")
     nodes = without(rows.select(F.col(rid).alias("id"), F.col(outline).alias("outline"), F.col(code).alias("code"), F.col(prefix).alias("prefix")), copies, FEW)
-    check = _alike(rows.select(F.col(rid).alias("id"), F.col("text").cast("string").alias("text")), shingle, similarity)
-    links = fingerprint_links(nodes.drop("prefix"), check, similarity, few=FEW)
+    check = _alike(rows.select(F.col(rid).alias("id"), F.col("text").cast("string").alias("text")), rows.select(F.col(rid).alias("id"), F.col(outline)[0].alias("n"), F.col(parity).alias("parity")), shingle, similarity)
+    links = fingerprint_links(nodes.select("id", "code"), check, similarity, few=FEW)
     roots = cut(components(links).select(F.col("node").alias("id"), "root"))
     links = links.unionByName(remaining_links(nodes.drop("code"), roots, common, check, similarity, few=FEW))
     groups = components(links).select(F.col("node").alias("id"), "root")
