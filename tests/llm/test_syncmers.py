@@ -62,6 +62,15 @@ def test_likeness(docs):
     assert got[1].edited == pytest.approx(1 / 3, abs=0.15)
 
 
+def test_texts_of_few_words_are_alike_by_their_characters(docs):
+    """Without spaces, or with a few long words: half of the text kept is half of the anchors kept."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("漢字仮名交文章例見本abcdefgh\U0001f600") for _ in range(n))
+    rows = docs((1, text(400)), (2, text(400)), (3, text(90) + " " + text(90)), (4, text(200)))
+    got = {r.doc_id: r for r in syncmers.fingerprints(rows).select("doc_id", syncmers.likeness(F.col("sketch"), F.col("edited_sketch")).alias("edited"), syncmers.likeness(F.col("sketch"), F.col("next_sketch")).alias("next")).collect()}
+    assert all(0.15 < r.edited < 0.55 and r.next < 0.1 for r in got.values())
+
+
 def test_fingerprint_is_the_least_anchors(docs):
     rng = random.Random(9)
     texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(n)) for n in (0, 1, 4, 5, 6, 40, 900)]

@@ -1,6 +1,6 @@
 """Document fingerprints from closed syncmers, with DataFrame functions alone.
 
-A k-mer is K words in a row. Of the S-word strings in it, the one with the least hash must be its first or its last:
+A k-mer is K words in a row, or K code points in a text of fewer words. Of the S-word strings in it, the one with the least hash must be its first or its last:
 whether a k-mer is chosen depends on its own words alone, so equal passages give equal anchors wherever they stand.
 """
 
@@ -21,20 +21,22 @@ BLOCK, LARGE, FEW = 256, 4096, 200_000
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def _word_hashes(text: Column) -> Column:
-    words = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACE)), r"[\x20\x09-\x0D]+")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _symbol_hashes(text: Column) -> Column:
+    """Hashes of a text's words, or where it has fewer than K, of its code points."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACE))
+    words = F.split(trimmed, r"[\x20\x09-\x0D]+")
+    return F.transform(F.when(F.size(words) >= K, words).otherwise(F.split(trimmed, "")), lambda w: F.xxhash64(w))
 
 
 def with_anchors(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """rows with out: array of (at, hash) for the closed syncmers of a text, at the number of their first word.
+    """rows with out: array of (at, hash) for the closed syncmers of a text, at the number of their first symbol.
 
-    A text with no chosen k-mer, be it too short or by chance, has one anchor for the whole sequence of words. Null counts
-    as empty, and empty texts are alike.
+    Symbols are words, or code points in a text of fewer than K words, be it short or without spaces. A text with no chosen
+    k-mer, be it too short or by chance, has one anchor for the whole sequence. Null counts as empty, and empty texts are alike.
     """
     h, m = f"{out}_words", f"{out}_pairs"
     n = F.size(h)
-    hashed = rows.withColumn(h, _word_hashes(F.col(text)))
+    hashed = rows.withColumn(h, _symbol_hashes(F.col(text)))
     paired = hashed.withColumn(m, F.zip_with(F.slice(h, 1, F.greatest(n - 1, F.lit(0))), F.slice(h, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
     count = F.greatest(n - (K - 1), F.lit(0))
     shifted = [F.slice(m, 1 + i, count).alias(f"m{i}") for i in range(K - S + 1)]
