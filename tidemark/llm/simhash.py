@@ -20,7 +20,7 @@ from tidemark.llm.common import cut, few_rows, free_name, lean, saved, ship
 from tidemark.llm.graph import components
 from tidemark.llm.gray import QUERIES, GrayIndex
 from tidemark.llm.prefixes import common_shingles, prefix_of, remaining_links
-from tidemark.llm.similar import asked, fingerprint_links, needed, parities_fit, shingle_sets, with_sets, without
+from tidemark.llm.similar import asked, ends, fingerprint_links, needed, parities_fit, shingle_sets, with_sets, without
 
 BITS = 64
 #: Fingerprints that one search may hold; larger groups are dealt again by their other bits.
@@ -207,10 +207,9 @@ def _alike(texts: DataFrame, sets: DataFrame, shingle: int, similarity: float):
     """
 
     def check(pairs: DataFrame) -> DataFrame:
-        out = left = cut(parities_fit(pairs, sets, similarity))
-        for end, n, hashes in (("u", "n", "a"), ("v", "m", "b")):
-            of = asked(texts, left.select(F.col(end).alias("id")).distinct(), FEW).mapInArrow(lean(_hash_sets(shingle)), "id long, n long, hashes array<long>")
-            out = out.join(of.select(F.col("id").alias(end), F.col("n").alias(n), F.col("hashes").alias(hashes)), end)
+        left = cut(parities_fit(pairs, asked(sets, ends(pairs), FEW), similarity))
+        of = cut(asked(texts, ends(left), FEW).mapInArrow(lean(_hash_sets(shingle)), "id long, n long, hashes array<long>"))
+        out = left.join(of.toDF("u", "n", "a"), "u").join(of.toDF("v", "m", "b"), "v")
         return out.filter(F.size(F.array_intersect("a", "b")) >= needed(F.col("n"), F.col("m"), similarity)).select("u", "v")
 
     return check

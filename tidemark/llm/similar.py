@@ -219,6 +219,11 @@ def parities_fit(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return met.select("u", "v", "n", "m", "a", "b").mapInArrow(lean(run), "u long, v long")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids of pairs (u, v)."""
+    return pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+
+
 def asked(texts: DataFrame, ids: DataFrame, few: int = FEW) -> DataFrame:
     """The rows of texts whose id is in the distinct ids: up to few go to every task, more are joined by shuffling."""
     return texts.join(few_rows(ids.select("id"), few), "id", "left_semi")
