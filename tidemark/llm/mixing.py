@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_range, cut, n_words
+from tidemark.llm.common import by_range, cut, few_rows, n_words
 
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
@@ -73,7 +73,7 @@ def _planned(rows: DataFrame, weights: tuple, most: float) -> DataFrame:
     offsets = parts.select("s", "part", (F.sum("part_size").over(W.partitionBy("s").orderBy("part")) - F.col("part_size")).alias("offset"))
     within = W.partitionBy("s", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = rows.withColumn("before", F.sum("size").over(within) - F.col("size")).join(offsets, ["s", "part"])
-    return placed.withColumn("before", F.col("before") + F.col("offset")).join(_sources(parts, weights, most), "s")
+    return placed.withColumn("before", F.col("before") + F.col("offset")).join(few_rows(_sources(parts, weights, most), FEW_SOURCES), "s")
 
 
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
