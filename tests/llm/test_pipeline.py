@@ -101,3 +101,14 @@ def test_stages_stand_clashing_columns(spark, odd):
         assert docs.columns == columns
     assert {r["Mixture"] for r in docs.collect()} <= {"Mixture"}
     assert pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_run_leaves_the_last_stage_alone(spark, stages):
+    from tidemark.llm import common
+
+    others = common.saved_paths(spark)
+    got = pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(common.saved_paths(spark)) - set(others)
+    assert len(left) == 1 and "source_mix" in left.pop()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[-1].collect()))
+    common.drop_saved(spark, but=others)
