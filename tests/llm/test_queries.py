@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -38,6 +39,31 @@ def test_columns_and_rows(spark, name):
         assert sorted(map(tuple, rows), key=repr) == want
 
 
+def test_repeats_are_told_by_what_is_removed(spark, tmp_path):
+    rng = random.Random(5)
+    prose = lambda n, k: " ".join("".join(rng.choices("abcdefghij", k=k)) for _ in range(n))
+    long, short = [prose(70, 7) for _ in range(4)], [prose(60, 4) for _ in range(4)]  # 559 and 299 bytes
+    of = {i: long[i % 4] if i < 12 else short[i % 4] if i < 24 else prose(70, 7) for i in range(40)}
+    rows = [(i, f"{prose(30 + i, 6)} {p} {prose(20, 6)}") for i, p in of.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.QUERIES["op5_suffix_dedup"](spark, str(tmp_path))
+    assert df.columns == list(CONTRACT["op5_suffix_dedup"][1])
+    found = {r.doc_id: r for r in df.collect()}
+    assert {i for i, r in found.items() if r.n_removed} == set(range(12))
+    # the size is that of the whole text, whether something goes or not
+    assert all(found[i].n_bytes == len(t) for i, t in rows)
+    for i, t in rows[:12]:
+        # the spaces around a passage are common to its documents too
+        a, b = t.index(of[i]) - 1, t.index(of[i]) + len(of[i]) + 1
+        same = [u for j, u in rows[:12] if j != i and j % 4 == i % 4]
+        while any(t[a - 1 : b] in u for u in same):
+            a -= 1
+        while any(t[a : b + 1] in u for u in same):
+            b += 1
+        assert (found[i].n_removed, found[i].n_spans) == (b - a, 1)
+        assert found[i].kept_sha256 == hashlib.sha256((t[:a] + t[b:]).encode()).hexdigest()
+
+
 def test_secret_digests(spark):
     from tidemark.llm import credentials
 
